@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import byte_bpe, pii
+from textloom.llm import byte_bpe, pii, token_files
 from textloom.llm.common import table
 from textloom.llm.exact_dedup import exact_dedup
 
@@ -21,6 +21,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op4_zstd_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.stored_ids(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op5_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ FROM n WINDOW w AS (PARTITION BY t)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_zstd_frames": op4_zstd_frames,
         "op5_pii_deobfuscation": op5_pii_deobfuscation,
         "op10_byte_bpe": op10_byte_bpe,
     }
