@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import byte_bpe, jaccard_join, pii, token_files
+from textloom.llm import byte_bpe, jaccard_join, packing, pii, token_files
 from textloom.llm.common import table
 from textloom.llm.exact_dedup import exact_dedup
 
@@ -29,6 +29,10 @@ def op5_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_zstd_frames": op4_zstd_frames,
         "op5_pii_deobfuscation": op5_pii_deobfuscation,
+        "op7_best_fit": op7_best_fit,
         "op8_jaccard_join": op8_jaccard_join,
         "op10_byte_bpe": op10_byte_bpe,
     }
