@@ -29,7 +29,7 @@ LETTER, NUMBER, SPACE, OTHER, EDGE = range(5)
 _EDGE_CP = sys.maxunicode + 1
 #: Unicode's White_Space, as first and last of each range.
 _WHITE = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
-_CHUNK_CHARS, _CACHE_ENTRIES, _CACHED_BYTES = 1 << 21, 1 << 19, 64
+_CHUNK_CHARS, _CACHE_ENTRIES, _CACHED_BYTES = 1 << 19, 1 << 18, 64
 _TABLES: dict[str, object] = {}
 
 
@@ -228,6 +228,23 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 (the digest of what the ids decode to) for each row of docs."""
-    out = decode(encode(docs, ranks_path, id_col, text_col), ranks_path)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 (the digest of what the ids decode to) for each row of docs.
+
+    Rows as in ``encode``. Encoding and decoding share one worker, and only digests leave it.
+    """
+    ship(docs.sparkSession)
+    data = docs.sparkSession.sparkContext.broadcast(open(ranks_path, "rb").read())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = _coder(data.value)
+        for pdf in batches:
+            rows = []
+            for ids in coder.encode(["" if t is None else t for t in pdf["text"]]):
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
+            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            yield out
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
