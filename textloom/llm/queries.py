@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import byte_bpe, jaccard_join, packing, pii, token_files, toxicity
+from textloom.llm import byte_bpe, jaccard_join, packing, pii, quality, token_files, toxicity
 from textloom.llm.common import table
 from textloom.llm.exact_dedup import exact_dedup
 
@@ -17,6 +17,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_toxicity_ssk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ FROM n WINDOW w AS (PARTITION BY t)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bradley_terry": op1_bradley_terry,
         "op2_toxicity_ssk": op2_toxicity_ssk,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_zstd_frames": op4_zstd_frames,
