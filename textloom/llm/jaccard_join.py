@@ -144,17 +144,18 @@ def _sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id and its set (sorted hashes as bytes)."""
+    """docs (doc_id, text, regions): a row for each of a document's regions with its set (sorted hashes as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for batch in batches:
             for at in range(0, batch.num_rows, _ROW_SETS):
                 part = batch.slice(at, _ROW_SETS)
-                raw = [shingle(t).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], ["doc_id", "set"])
+                at_doc = part.column(2).value_parent_indices()
+                raw = pa.array([shingle(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(2).flatten(), part.column(0).take(at_doc), raw.take(at_doc)], ["p", "doc_id", "set"])
 
-    return docs.mapInArrow(run, "doc_id long, set binary")
+    return docs.mapInArrow(run, "p long, doc_id long, set binary")
 
 
 class Region:
@@ -226,7 +227,7 @@ def _joined(rows: DataFrame, num: int, den: int) -> DataFrame:
     return placed.select("region", "doc_id", "set").mapInPandas(run, "a long, b long")
 
 
-def _large(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den: int, limit: int, block: int) -> DataFrame:
+def _large(pairs: DataFrame, sets: DataFrame, num: int, den: int, limit: int, block: int) -> DataFrame:
     """Links within regions too large for one task. pairs: p, x (the pivot's own row included)."""
     radius = 1 - num / den
     own = sets.withColumnRenamed("doc_id", "x")
@@ -295,15 +296,15 @@ def jaccard_classes(
     sizes = pairs.groupBy("p").agg((F.sum("n") + F.max("m")).alias("total"))
     members = pairs.select("p", "x").unionByName(sizes.select("p", F.col("p").alias("x")))
     members = staged(members.join(sizes, "p").withColumn("large", F.col("total") > region_shingles), "members")
-    wanted = members.select(F.col("x").alias("doc_id")).distinct()
-    sets = _sets(texts.join(wanted, "doc_id", "left_semi"), n)
-    has_large = not members.filter("large").isEmpty()
-    if has_large:
-        sets = staged(sets, "sets")
-    rows = members.filter("NOT large").join(sets.withColumnRenamed("doc_id", "x"), "x")
-    links = _joined(rows.select(F.col("p").cast("string").alias("region"), (F.col("p") == F.col("x")).alias("pivot"), F.col("x").alias("doc_id"), "set"), num, den)
-    if has_large:
-        links = links.unionByName(_large(members.filter("large").select("p", "x"), sets, sizes, num, den, region_shingles, block_shingles))
+    # a set is made once from its text and sent once to each of its regions
+    homes = members.filter("NOT large").groupBy(F.col("x").alias("doc_id")).agg(F.collect_list("p").alias("regions"))
+    rows = _sets(texts.join(homes.hint("merge"), "doc_id"), n)
+    links = _joined(rows.select(F.col("p").cast("string").alias("region"), (F.col("p") == F.col("doc_id")).alias("pivot"), "doc_id", "set"), num, den)
+    far = members.filter("large").select("p", "x")
+    if not far.isEmpty():
+        own = far.select(F.col("x").alias("doc_id")).distinct().withColumn("regions", F.array(F.lit(0).cast("long")))
+        sets = staged(_sets(texts.join(own.hint("merge"), "doc_id"), n).drop("p"), "sets")
+        links = links.unionByName(_large(far, sets, num, den, region_shingles, block_shingles))
     found = components(links)
     labelled = classes.join(found, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component"))
     return (

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import byte_bpe, jaccard_join, packing, pii, quality, token_files, toxicity
+from textloom.llm import byte_bpe, jaccard_join, packing, pii, quality, spotsigs, token_files, toxicity
 from textloom.llm.common import table
 from textloom.llm.exact_dedup import exact_dedup
 
@@ -45,6 +45,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii_deobfuscation": op5_pii_deobfuscation,
         "op7_best_fit": op7_best_fit,
         "op8_jaccard_join": op8_jaccard_join,
+        "op9_spotsigs": op9_spotsigs,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
