@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import byte_bpe, jaccard_join, packing, pii, quality, spotsigs, token_files, toxicity
+from textloom.llm import byte_bpe, cross_entropy, jaccard_join, packing, pii, quality, spotsigs, token_files, toxicity
 from textloom.llm.common import table
 from textloom.llm.exact_dedup import exact_dedup
 
@@ -37,6 +37,11 @@ def op5_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op6_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return cross_entropy.difference(table(spark, sf_dir, "documents"), good)
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_zstd_frames": op4_zstd_frames,
         "op5_pii_deobfuscation": op5_pii_deobfuscation,
+        "op6_cross_entropy": op6_cross_entropy,
         "op7_best_fit": op7_best_fit,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_spotsigs": op9_spotsigs,
