@@ -36,6 +36,8 @@ from textloom.llm.common import ship, shuffle_width, staged, work_path
 #: Fixed values of the public formats.
 _SKIP_TABLE, _SKIP_INDEX, _SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 _CHUNK_CHARS, _CACHE_ENTRIES, _CACHED_CHARS = 1 << 21, 1 << 19, 64
+#: Signs that may follow a word; none begins or continues a contraction.
+_SIGNS = ".,!?;:$%&*#|"
 _CODERS: dict[str, WordCoder] = {}
 
 
@@ -43,7 +45,9 @@ class WordCoder:
     """The tokenizers library behind a cache of words.
 
     No piece of the vocabulary's splitter spans a space or line feed, and its normaliser reads no further than a
-    piece's own characters, so the words between them are encoded apart and their ids joined.
+    piece's own characters, so the words between them are encoded apart and their ids joined. A word of letters and
+    the signs after it are two pieces. Unknown words of letters go to the library many to a text: each is one piece,
+    and the last token of a piece is marked in the vocabulary.
     """
 
     def __init__(self, model: bytes):
@@ -53,6 +57,45 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_buffer(model)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _apart(self, words: list[str]) -> Iterator[bytes]:
+        for got in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
+            yield np.array(got.ids, "<u4").tobytes()
+
+    def _together(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of words of letters."""
+        groups = [words[a : a + 256] for a in range(0, len(words), 256)]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            if len(ends) != len(group):  # a letter became more than one piece
+                yield from self._apart(group)
+                continue
+            raw = ids.tobytes()
+            yield from (raw[a:b] for a, b in zip([0, *ends], ends))
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of unknown words."""
+        cut: dict[str, tuple[str, str]] = {}
+        letters, others = set(), set()
+        for word in new:
+            core = word.rstrip(_SIGNS)
+            if core.isalpha() and core.lower().isalpha():
+                tail = word[len(core) :]
+                core = core.lower() if core.isascii() else core
+                cut[word] = core, tail
+                letters.add(core)
+                others.add(tail)
+            else:
+                others.add(word)
+        known = self.cache
+        letters, others = [w for w in letters if w not in known], [w for w in others if w not in known]
+        got = dict(zip(letters, self._together(letters), strict=True)) | dict(zip(others, self._apart(others), strict=True))
+        find = lambda w: got[w] if w in got else known[w]
+        return got | {word: find(core) + find(tail) for word, (core, tail) in cut.items()}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
@@ -66,9 +109,9 @@ class WordCoder:
                 self.cache = {"": b""}
             new = list(set(itertools.chain.from_iterable(split)).difference(self.cache))
             known, once = self.cache, {}
-            for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                (known if len(word) <= _CACHED_CHARS else once)[word] = np.array(got.ids, "<u4").tobytes()
-            look = (lambda w: known.get(w) or once.get(w, b"")) if once else known.__getitem__
+            for word, ids in self._learn(new).items():
+                (known if len(word) <= _CACHED_CHARS else once)[word] = ids
+            look = (lambda w: known[w] if w in known else once[w]) if once else known.__getitem__
             for words in split:
                 yield b"".join(map(look, words))
             at = stop
