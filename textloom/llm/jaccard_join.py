@@ -34,8 +34,8 @@ from textloom.llm.components import components
 
 _U = np.uint64
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], _U)
-_CACHE_WORDS = 1 << 19
-_ROW_SETS, _REGION_SHINGLES, _BLOCK_SHINGLES = 512, 1 << 22, 1 << 19
+_CACHE_WORDS, _SEEN_SETS = 1 << 18, 1 << 16
+_ROW_SETS, _REGION_SHINGLES, _BLOCK_SHINGLES = 512, 1 << 20, 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -125,7 +125,7 @@ def _sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     digest = (len(s), int(mixed(s + _WEIGHTS[0]).sum(dtype=_U)), int(mixed(s + _WEIGHTS[1]).sum(dtype=_U)))
                     new = len(s) > 0 and digest not in seen
                     if new:
-                        if len(seen) >= _CACHE_WORDS:
+                        if len(seen) >= _SEEN_SETS:
                             seen.clear()
                         seen.add(digest)
                         flat.append(cells(s))
