@@ -17,6 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm.common import shuffle_width, staged
 
@@ -60,47 +61,42 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return got.select("doc_id", signatures(F.col("_w")).alias("signature"))
 
 
-def followers(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id): for each distinct id the one after it in ascending order; the last has the first."""
-    width = shuffle_width(ids.sparkSession)
-    placed = ids.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    placed = staged(placed.repartitionByRange(width, "doc_id").withColumn("part", F.spark_partition_id()), "ordered_ids")
-    heads = placed.groupBy("part").agg(F.min("doc_id").alias("head"))
-    # one row for each part
-    after = heads.select("part", F.lead("head").over(Window.orderBy("part")).alias("after"), F.min("head").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("first"))
-    inside = placed.withColumn("next", F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
-    return inside.join(after, "part").select("doc_id", F.coalesce("next", "after", "first").alias("next_id"), "copies")
-
-
-def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges_per_partition: int = 4) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
     document, ascending doc_id, after the last the first. A null text is empty: no signatures, like any other empty
-    text. Where rows repeat a doc_id, the next document is the row of the next id whose text is least. A row without
-    an id has no next document: its edit only drops the end, and near_next is null. Other columns are ignored.
+    text. Rows that repeat a doc_id follow each other by text. A row without an id has no next document: its edit
+    only drops the end, and near_next is null. Other columns are ignored; an empty table gives an empty result.
+
+    Texts are shuffled once, by ranges of doc_id; the bounds of the ranges and the first id of each, as many as
+    there are ranges, go through the driver. The first document of a range is also sent to the range before it.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    step = staged(followers(base.select("doc_id")), "followers")
-    placed = base.select("doc_id", "text").repartition(shuffle_width(docs.sparkSession), "doc_id")
-    size = base.select("doc_id", F.floor(F.length("text") / 4).cast("int").alias("quarter")).groupBy("doc_id").agg(F.max("quarter").alias("quarter"))
-    need = step.join(size, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), "quarter")
-    found = placed.join(need, "doc_id")
-    if not step.filter("copies > 1").isEmpty():
-        found = found.withColumn("_n", F.row_number().over(Window.partitionBy("prev_id").orderBy("text"))).filter("_n = 1").drop("_n")
-    heads = found.select("prev_id", F.substring(F.col("text"), F.lit(1), F.col("quarter")).alias("head"), words(F.col("text")).alias("_w"))
-    heads = heads.select(F.col("prev_id").alias("_p"), "head", signatures(F.col("_w")).alias("next_signature"))
+    known = base.filter("doc_id IS NOT NULL")
+    ranges = ranges_per_partition * shuffle_width(docs.sparkSession)
+    cuts = known.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10 * ranges))).first()[0] or []
+    kind = docs.schema[id_col].dataType
+    bounds = F.lit(sorted(set(cuts))).cast(T.ArrayType(kind)) if cuts else F.array().cast(T.ArrayType(kind))
+    placed = known.withColumn("part", F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))))
+    heads = sorted((r[0], r[1]) for r in placed.groupBy("part").agg(F.min("doc_id")).collect())
+    before = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]
+    first = docs.sparkSession.createDataFrame(before, T.StructType([T.StructField("doc_id", kind), T.StructField("part", T.IntegerType())]))
+    # one row for each range
+    guests = known.join(F.broadcast(first), "doc_id").select("doc_id", "text", "part", F.lit(1).alias("guest"))
+    rows = placed.withColumn("guest", F.lit(0)).unionByName(guests)
+    order = Window.partitionBy("part").orderBy("guest", "doc_id", "text")
+    met = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("_w", words(F.col("text")))
+    met = met.withColumn("a", signatures(F.col("_w"))).drop("_w").withColumn("next_signature", F.lead("a").over(order)).filter("guest = 0")
+    loose = base.filter("doc_id IS NULL").withColumn("_w", words(F.col("text"))).select("doc_id", "text", F.lit("").alias("next_text"), signatures(F.col("_w")).alias("a"), F.lit(None).cast("array<int>").alias("next_signature"))
+    met = met.select("doc_id", "text", "next_text", "a", "next_signature").unionByName(loose)
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    met = placed.join(heads, F.col("doc_id") == F.col("_p"), "left")
     edit = met.select(
-        "doc_id",
-        n.cast("long").alias("n_chars"),
-        words(F.col("text")).alias("_w"),
-        F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.coalesce(F.substring(F.col("head"), F.lit(1), quarter), F.lit(""))).alias("edited"),
-        "next_signature",
-    )
-    edit = edit.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("_w")).alias("a"), words(F.col("edited")).alias("_v"), "next_signature")
+        "doc_id", n.cast("long").alias("n_chars"), "a", "next_signature",
+        F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter)).alias("edited"),
+    )
+    edit = edit.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", words(F.col("edited")).alias("_v"), "next_signature")
     out = edit.select("doc_id", "n_chars", "edited_sha256", "a", signatures(F.col("_v")).alias("b"), "next_signature")
     return out.select(
         "doc_id",
