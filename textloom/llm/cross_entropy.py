@@ -53,7 +53,7 @@ class Ids:
 def vocabulary(docs: DataFrame, words: int, text_col: str = "text") -> list[str]:
     """The most frequent words of all texts, ties in the order of the words; words bounds what the driver gets."""
     split = F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+")
-    counts = docs.select(F.explode(split).alias("w")).filter("w <> ''").groupBy("w").count()
+    counts = docs.select(F.explode_outer(split).alias("w")).filter("w <> ''").groupBy("w").count()
     return [r[0] for r in counts.orderBy(F.desc("count"), "w").limit(words).select("w").collect()]
 
 
@@ -129,7 +129,7 @@ class Difference:
     background: Model
 
 
-def fit(docs: DataFrame, *, words: int = 8192, bigrams: int = 1 << 20, discount: float = 0.75) -> Difference:
+def fit(docs: DataFrame, *, words: int = 8192, bigrams: int = 1 << 18, discount: float = 0.75) -> Difference:
     """Both models from all rows of docs (text, target). words and bigrams bound the model's size, not the counts'."""
     known = vocabulary(docs, words)
     size = 1 + _CLASSES + len(known)
@@ -153,9 +153,10 @@ def fit(docs: DataFrame, *, words: int = 8192, bigrams: int = 1 << 20, discount:
             break
         held += n
     kept = table.filter(F.col("n") >= max(2, least)) if least <= 4096 else table.orderBy(F.desc("n"), "pair").limit(bigrams)
-    got = kept.orderBy("pair").toPandas()
-    pairs = got["pair"].to_numpy(np.int64)
-    make = lambda k, column: Model.fit(pairs, got[column].to_numpy(float), contexts[k], ends[k], discount, size)
+    got = kept.toPandas()
+    order = np.argsort(got["pair"].to_numpy(np.int64))
+    pairs = got["pair"].to_numpy(np.int64)[order]
+    make = lambda k, column: Model.fit(pairs, got[column].to_numpy(float)[order], contexts[k], ends[k], discount, size)
     return Difference(known, pairs, make(1, "n_target"), make(0, "n"))
 
 
