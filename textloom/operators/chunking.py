@@ -27,9 +27,11 @@ class ChunkConfig:
             raise ValueError(f"unknown strategy {self.strategy!r}")
 
 
-def fixed_pieces(text: Column, c: ChunkConfig) -> Column:
-    """Windows of max_size words, each max_size - overlap after the last; a short last window is moved back or dropped."""
-    w = words(text)
+def fixed_pieces(w: Column, c: ChunkConfig) -> Column:
+    """Windows of max_size words, each max_size - overlap after the last; a short last window is moved back or dropped.
+
+    w is a column of words, not an expression for them: it is read for each window.
+    """
     n, step = F.size(w), c.max_size - c.overlap
     count = F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil((n - c.overlap) / F.lit(float(step))).cast("int")))
     starts = F.when(count == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * step))
@@ -152,12 +154,20 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig | None = None, *, embed
     A text repeated within a document (but for case) is given once, and indexes close up over the gap.
     """
     c = config or ChunkConfig()
-    pieces = {"fixed": fixed_pieces, "sentence": sentence_pieces, "metadata": sentence_pieces}.get(c.strategy)
-    got = semantic_pieces(F.col(text_col), c, embed) if pieces is None else pieces(F.col(text_col), c)
-    got = docs.withColumn("_pieces", F.filter(F.transform(got, clean), lambda p: p.isNotNull())).withColumn("_keys", F.transform("_pieces", lambda p: text_key(p)))
-    got = got.withColumn("_pieces", F.filter("_pieces", lambda p, i: F.array_position(F.col("_keys"), text_key(p)) == i + 1)).drop("_keys")
+    if c.strategy == "fixed":
+        source, pieces = docs.withColumn("_w", words(F.col(text_col))), fixed_pieces(F.col("_w"), c)
+    elif c.strategy == "semantic":
+        source, pieces = docs, semantic_pieces(F.col(text_col), c, embed)
+    else:
+        source, pieces = docs, sentence_pieces(F.col(text_col), c)
+    got = source.withColumn("_pieces", pieces).withColumn("_pieces", F.filter(F.transform("_pieces", clean), lambda p: p.isNotNull()))
+    # places of the first of each key, from one pass over the keys
+    got = got.withColumn("_keys", F.transform("_pieces", lambda p: text_key(p)))
+    first = F.transform(F.array_distinct("_keys"), lambda k: F.element_at("_pieces", F.array_position(F.col("_keys"), k).cast("int")))
+    got = got.withColumn("_first", F.when(F.size(F.array_distinct("_keys")) == F.size("_pieces"), F.col("_pieces")).otherwise(first))
     rest = [x for x in docs.columns if x not in (id_col, text_col)]
-    flat = got.select(F.col(id_col).cast("string").alias("document_id"), *rest, F.posexplode("_pieces").alias("chunk_index", "text"))
+    # outer: from an inner explode Spark infers a filter on the array's size and computes the chunks again for it
+    flat = got.select(F.col(id_col).cast("string").alias("document_id"), *rest, F.posexplode_outer("_first").alias("chunk_index", "text")).filter("chunk_index IS NOT NULL")
     return flat.select(
         chunk_id(F.col("document_id"), c.strategy, F.col("chunk_index"), F.col("text")).alias("chunk_id"),
         "document_id", "text", "chunk_index", F.lit(c.strategy).alias("chunk_strategy"), *rest,

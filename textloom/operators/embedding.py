@@ -14,7 +14,7 @@ from textloom.functions.text import text_key
 def hash_terms(texts: DataFrame, id_col: str, text_col: str, dim: int, prefix: str | None) -> DataFrame:
     """id, idx, value: signed counts of a text's words at hashed places, only those that are not 0."""
     t = F.col(text_col) if prefix is None else F.concat(F.lit(f"{prefix}: "), F.col(text_col))
-    w = texts.select(F.col(id_col).alias("id"), F.explode(F.filter(F.split(text_key(t), r"(?U)\s+"), lambda x: x != "")).alias("w"))
+    w = texts.select(F.col(id_col).alias("id"), F.explode_outer(F.split(text_key(t), r"(?U)\s+")).alias("w")).filter("w <> ''")
     h = F.sha2("w", 256)
     idx = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int")
     sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)

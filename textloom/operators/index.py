@@ -30,7 +30,8 @@ def build(chunks: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text"
     """Index of the chunks with an id and text. The length of a chunk travels with its postings, so scoring needs no
     join for it; terms are counted within a chunk before the only shuffle of postings, by term."""
     tok = tokenized(chunks, id_col, text_col, tokenizer)
-    tf = tok.select("chunk_id", "doc_length", F.explode("_tokens").alias("term")).groupBy("chunk_id", "doc_length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # outer explode: an inner one would compute the tokens again for a filter on their number
+    tf = tok.select("chunk_id", "doc_length", F.explode_outer("_tokens").alias("term")).filter("term IS NOT NULL").groupBy("chunk_id", "doc_length", "term").agg(F.count(F.lit(1)).alias("tf"))
     postings = tf.select("term", "chunk_id", "tf", "doc_length")
     return derived(tok.drop("_tokens"), postings)
 
@@ -59,8 +60,8 @@ def append_new(path: str, chunks: DataFrame, *, id_col: str = "chunk_id", text_c
     The new ids are checked before anything is written; running it again adds nothing.
     """
     spark = chunks.sparkSession
-    have = spark.read.parquet(f"{path}/chunks").select("chunk_id")
-    new = chunks.dropDuplicates([id_col]).join(have, F.col(id_col) == F.col("chunk_id"), "left_anti")
+    have = spark.read.parquet(f"{path}/chunks").select(F.col("chunk_id").alias("_have"))
+    new = chunks.dropDuplicates([id_col]).join(have, F.col(id_col) == F.col("_have"), "left_anti")
     part = build(new, id_col=id_col, text_col=text_col, tokenizer=tokenizer)
     part.chunks.persist()
     try:
