@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,8 +44,8 @@ def derived(chunks: DataFrame, postings: DataFrame) -> Index:
 
 def write(index: Index, path: str, mode: str = "overwrite") -> None:
     """Persist; postings are laid out by term, so a query's terms prune row groups."""
-    index.chunks.write.mode(mode).parquet(f"{path}/chunks")
     index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/postings")
+    index.chunks.write.mode(mode).parquet(f"{path}/chunks")
     stored = derived(*(index.chunks.sparkSession.read.parquet(f"{path}/{t}") for t in ("chunks", "postings")))
     stored.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
     stored.corpus_stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
@@ -57,19 +58,20 @@ def load(spark: SparkSession, path: str) -> Index:
 def append_new(path: str, chunks: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text", tokenizer=tokens) -> int:
     """Add the chunks whose id the stored index lacks; a repeated id within chunks goes in once. Returns how many.
 
-    The new ids are checked before anything is written; running it again adds nothing.
+    Postings are written before the chunks that make their ids known, and only for ids without any, so running it
+    again, also after a loss half-way, completes the index and adds nothing twice.
     """
     spark = chunks.sparkSession
     have = spark.read.parquet(f"{path}/chunks").select(F.col("chunk_id").alias("_have"))
     new = chunks.dropDuplicates([id_col]).join(have, F.col(id_col) == F.col("_have"), "left_anti")
-    part = build(new, id_col=id_col, text_col=text_col, tokenizer=tokenizer)
-    part.chunks.persist()
-    try:
-        count = part.chunks.count()
-        if count:
-            write(part, path, mode="append")
-    finally:
-        part.chunks.unpersist()
+    draft = f"{path}/_new-{uuid.uuid4().hex}"
+    new.write.parquet(draft)
+    part = build(spark.read.parquet(draft), id_col=id_col, text_col=text_col, tokenizer=tokenizer)
+    count = part.chunks.count()
+    if count:
+        posted = spark.read.parquet(f"{path}/postings").select("chunk_id").distinct()
+        part.postings = part.postings.join(posted, "chunk_id", "left_anti").select(*part.postings.columns)
+        write(part, path, mode="append")
     return count
 
 
