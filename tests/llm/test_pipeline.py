@@ -5,7 +5,7 @@ def test_stages(spark, tmp_path):
     cp = pytest.importorskip("corpus_pipeline")
     good = " ".join(f"word{i}" for i in range(60))
     docs = [(1, good), (2, good), (3, good + " more"), (4, "you total idiot"), (5, "write to a@b.co please"), (6, None)]
-    train = [(100 + i, f"plain text number {i} with some words") for i in range(30)] + [(200 + i, f"what an idiot case{i}") for i in range(30)]
+    train = [(100 + i, f"w{i * 5} text v{i * 11}") for i in range(30)] + [(200 + i, f"w{i * 7} idiot v{i * 3}") for i in range(30)]
     frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs + train], "doc_id long, text string, lang string, source string, n_chars long")
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i >= 200)) for i, _ in train], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
