@@ -154,9 +154,9 @@ def fit(docs: DataFrame, *, words: int = 8192, bigrams: int = 1 << 18, discount:
         held += n
     kept = table.filter(F.col("n") >= max(2, least)) if least <= 4096 else table.orderBy(F.desc("n"), "pair").limit(bigrams)
     got = kept.toArrow()  # at most bigrams rows
-    order = np.argsort(got["pair"].to_numpy(np.int64))
-    pairs = got["pair"].to_numpy(np.int64)[order]
-    make = lambda k, column: Model.fit(pairs, got[column].to_numpy(float)[order], contexts[k], ends[k], discount, size)
+    order = np.argsort(np.asarray(got["pair"], np.int64))
+    pairs = np.asarray(got["pair"], np.int64)[order]
+    make = lambda k, column: Model.fit(pairs, np.asarray(got[column], float)[order], contexts[k], ends[k], discount, size)
     return Difference(known, pairs, make(1, "n_target"), make(0, "n"))
 
 
