@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -173,6 +174,36 @@ def test_cross_entropy(spark):
         assert row.sum() == pytest.approx(1)
 
 
+def test_cross_entropy_counts_every_word_and_pair(spark):
+    rng = random.Random(4)
+    word = lambda: f"w{int(rng.paretovariate(0.7)) if rng.random() < 0.6 else rng.randrange(40000)}"
+    texts = [" ".join(word() for _ in range(rng.choice([0, 1, 60, 200]))) for _ in range(500)] + [None]
+    good = {i for i in range(500) if i % 7 == 0}
+    n, first, follow = ([Counter(), Counter()] for _ in range(3))
+    pairs = [Counter(), Counter()]
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        for k in range(1 + (i in good)):
+            n[k].update(w)
+            first[k].update(["", *w][:-1] if w else [])
+            pairs[k].update(zip(["", *w], w, strict=False))
+    for k in (0, 1):
+        follow[k].update(a for a, _ in pairs[k])
+    assert len(n[0]) > 8300
+
+    def loss(k, a, b):
+        own = (n[k][b] + 0.5) / (sum(n[k].values()) + 0.5 * len(n[0]))
+        return -np.log(own if not first[k][a] else (0.75 * follow[k][a] * own + max(pairs[k][a, b] - 0.75, 0)) / first[k][a])
+
+    ids = spark.createDataFrame([(i,) for i in good], "doc_id long")
+    rows = cross_entropy.difference(frame(spark, texts), ids, block_tokens=5000).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        w = (texts[r["doc_id"]] or "").split()
+        want = [sum(loss(k, a, b) for a, b in zip(["", *w], w, strict=False)) / max(1, len(w)) for k in (1, 0)]
+        assert (r["n_tokens"], r["target_loss"], r["background_loss"]) == pytest.approx((len(w), *want)) and r["score"] == pytest.approx(want[1] - want[0])
+
+
 def test_packing(spark):
     rng = random.Random(1)
     n = [rng.randint(0, 40) for _ in range(300)] + [200, 129]

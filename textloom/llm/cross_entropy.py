@@ -1,25 +1,38 @@
 """Cross-entropy difference of two n-gram models that share one vocabulary.
 
 The background model counts all documents, the target model those marked as target. Both are bigram models with
-absolute discounting over the same words: the ``words`` most frequent of the whole corpus, and classes of shape for
-the rest, so every token has an id. Both keep the same bigrams, the most frequent of the corpus up to ``bigrams``;
-what the discount and the others would hold goes to the word's own frequency, so each context still sums to 1. A
-document scores the mean over its tokens of the background's loss less the target's: higher is more like the target.
+absolute discounting over all words and all bigrams of the corpus; what the discount holds back goes to the word's own
+frequency, so each context sums to 1. A document scores the mean over its tokens of the background's loss less the
+target's: higher is more like the target.
+
+``difference`` never holds a model in one place. Documents are cut into blocks of tokens. A block sends its distinct
+pairs and words, as packed arrays by ranges of their 64-bit hashes, to shards that add up the counts of all blocks;
+the shards answer each block with the totals in the order it asked, and the block scores its documents.
+
+``fit`` and ``score`` are for a model small enough to carry: the ``words`` most frequent words with classes of shape
+for the rest, and the most frequent bigrams up to ``bigrams``.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ship, staged
+from textloom.llm.common import ship, shuffle_width, staged
+from textloom.llm.jaccard_join import mixed
 
 _CLASSES, _CHUNK, _CACHE_WORDS = 64, 1 << 20, 1 << 18
+_BLOCK, _U = 1 << 21, np.uint64
 
 
 def shape(word: bytes) -> int:
@@ -196,13 +209,176 @@ def score(docs: DataFrame, model: Difference, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
 
-def difference(docs: DataFrame, target_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Scores of all rows of docs, with the rows whose id is in target_ids.doc_id as target.
+def _pack(*arrays: np.ndarray) -> bytes:
+    small = [a if a.dtype == _U else a.astype(np.min_scalar_type(a.max(initial=0))) for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(small, protocol=5))
+
+
+def _unpack(body: bytes) -> list[np.ndarray]:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(body))
+
+
+def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's range starts in sorted keys, and the end."""
+    return np.searchsorted((((keys >> _U(32)) * _U(shards)) >> _U(32)).astype(np.int64), np.arange(shards + 1))
+
+
+def _pairs(words: np.ndarray, prev: np.ndarray, cur: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys of a block's distinct pairs in ascending order, the words of each, and each token's pair."""
+    code, back = np.unique(prev * np.int64(max(1, len(words))) + cur, return_inverse=True)
+    a, b = code // max(1, len(words)), code % max(1, len(words))
+    keys = mixed(mixed(words[a] + _U(1)) + words[b])
+    order = np.argsort(keys, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return keys[order], a[order], b[order], rank[back]
+
+
+def _steps(local: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Previous word and word of each token; local holds a block's words with a 0, the start, before each document that has any."""
+    full = n[n > 0]
+    start = np.zeros(len(local), bool)
+    start[np.cumsum(full + 1) - full - 1] = True
+    return local[:-1][~start[1:]].astype(np.int64), local[~start].astype(np.int64)
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+_SENT = pa.schema([("kind", pa.string()), ("block", pa.string()), ("shard", pa.int32()), ("body", pa.binary())])
+
+
+def _blocks(docs: DataFrame, shards: int, block_tokens: int) -> DataFrame:
+    """Rows of docs (doc_id, text, target) in blocks: kind, block, shard, body, ids.
+
+    A ``doc`` row has a block's ids, texts' lengths, distinct words' hashes and its words as places among them; a
+    ``pair`` row a shard's keys, previous words, n and n_target; a ``word`` row a shard's hashes, counts as word and
+    as context, each in all documents and in those of target.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        ids, sizes, marks, held, waiting = [], [], [], [np.zeros(0, _U)], 0
+        schema = None
+
+        def settle() -> pa.RecordBatch:
+            nonlocal ids, sizes, marks, held, waiting
+            block, n, mark = uuid.uuid4().hex, np.array(sizes, np.int64), np.array(marks, bool)
+            words, local = np.unique(np.concatenate([np.zeros(1, _U), *held]), return_inverse=True)  # the start, 0, is always first
+            local = local[1:]
+            prev, cur = _steps(local, n)
+            target = np.repeat(mark, n).astype(float)
+            keys, a, _, of = _pairs(words, prev, cur)
+            count = lambda at, size, w=None: np.bincount(at, w, size).astype(np.int64)
+            pair = keys, words[a], count(of, len(keys)), count(of, len(keys), target)
+            word = words, count(cur, len(words)), count(cur, len(words), target), count(prev, len(words)), count(prev, len(words), target)
+            rows = [("doc", block, 0, _pack(n, words, local), ids)]
+            for kind, arrays in (("pair", pair), ("word", word)):
+                cuts = _cuts(arrays[0], shards)
+                rows += [(kind, block, s, _pack(*[x[i:j] for x in arrays]), None) for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+            ids, sizes, marks, held, waiting = [], [], [], [np.zeros(0, _U)], 0
+            return _rows(rows, schema)
+
+        for batch in batches:
+            schema = schema or _SENT.append(pa.field("ids", pa.list_(batch.schema.field(0).type)))
+            for key, text, target in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                found = (text or "").encode().split()
+                ids.append(key)
+                sizes.append(len(found))
+                marks.append(bool(target))
+                if found:
+                    if len(known) > _CACHE_WORDS:
+                        known.clear()
+                    for w in set(found).difference(known):
+                        known[w] = xxhash.xxh64_intdigest(w) or 1
+                    held += [np.zeros(1, _U), np.fromiter(map(known.__getitem__, found), _U, len(found))]
+                waiting += len(found) + 1
+                if waiting >= block_tokens:
+                    yield settle()
+        if ids:
+            yield settle()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", "target").mapInArrow(run, f"kind string, block string, shard int, body binary, ids array<{kind}>")
+
+
+def _add_pairs(shards: int):
+    """Of a shard's ``pair`` rows: ``pair`` answers (n and n_target), and ``kinds`` rows (contexts, how many words follow each)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = [_unpack(b) for b in t["body"].to_pylist()]
+        u, first, back = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        total = [np.bincount(back, np.concatenate([p[k] for p in parts]), len(u)).astype(np.int64) for k in (2, 3)]
+        ends = np.cumsum([len(p[0]) for p in parts])
+        asked = zip(t["block"].to_pylist(), t["shard"].to_pylist(), np.split(back, ends[:-1]), strict=True)
+        rows = [("pair", block, s, _pack(total[0][at], total[1][at])) for block, s, at in asked]
+        contexts, of = np.unique(np.concatenate([p[1] for p in parts])[first], return_inverse=True)
+        kinds = [np.bincount(of, w, len(contexts)).astype(np.int64) for w in (None, (total[1] > 0).astype(float))]
+        cuts = _cuts(contexts, shards)
+        rows += [("kinds", None, s, _pack(contexts[i:j], kinds[0][i:j], kinds[1][i:j])) for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+        return pa.Table.from_batches([_rows(rows, _SENT)])
+
+    return run
+
+
+def _add_words(t: pa.Table) -> pa.Table:
+    """Of a shard's ``word`` and ``kinds`` rows: ``word`` answers (the four counts and both kinds), and one ``total`` row (words, tokens, those of target)."""
+    parts = [_unpack(b) for b in t["body"].to_pylist()]
+    u, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    total = np.zeros((6, len(u)), np.int64)
+    places = np.split(back, np.cumsum([len(p[0]) for p in parts])[:-1])
+    for p, at in zip(parts, places, strict=True):
+        total[slice(0, 4) if len(p) == 5 else slice(4, 6), at] += np.array(p[1:], np.int64)  # a part names a word once
+    asked = zip(t["kind"].to_pylist(), t["block"].to_pylist(), t["shard"].to_pylist(), places, strict=True)
+    rows = [("word", block, s, _pack(*total[:, at]), None, None, None) for kind, block, s, at in asked if kind == "word"]
+    rows.append(("total", None, 0, None, int((total[0] > 0).sum()), int(total[0].sum()), int(total[1].sum())))
+    return pa.Table.from_batches([_rows(rows, pa.schema([*_SENT, ("v", pa.int64()), ("n", pa.int64()), ("n_target", pa.int64())]))])
+
+
+def _score_block(v: int, tokens: tuple[int, int], discount: float):
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(t["kind"].to_pylist(), t["shard"].to_pylist(), t["body"].to_pylist(), range(len(t)), strict=True), key=lambda r: r[:2])
+        n, words, local = _unpack(next(r[2] for r in rows if r[0] == "doc"))
+        ids = t["ids"].take([next(r[3] for r in rows if r[0] == "doc")]).combine_chunks().flatten()
+        n = n.astype(np.int64)
+        doc, losses = np.repeat(np.arange(len(n)), n), []
+        prev, cur = _steps(local, n)
+        _, a, b, of = _pairs(words, prev, cur)
+        # answers by shard are in the order of the keys
+        joined = lambda kind, k: [np.concatenate(x).astype(float) for x in zip(*[_unpack(r[2]) for r in rows if r[0] == kind], strict=True)] or [np.zeros(0)] * k
+        pair, word = joined("pair", 2), joined("word", 6)
+        for k in (1, 0):
+            context, kinds = word[2 + k][a], word[4 + k][a]
+            left = np.where(context > 0, discount * kinds / np.maximum(context, 1), 1.0)
+            p = left * (word[k][b] + 0.5) / (tokens[k] + 0.5 * v) + np.maximum(pair[k] - discount, 0) / np.maximum(context, 1)
+            losses.append(np.bincount(doc, -np.log(p)[of], len(n)) / np.maximum(n, 1))
+        return pa.table({"doc_id": ids, "n_tokens": n, "target_loss": losses[0], "background_loss": losses[1], "score": losses[1] - losses[0]})
+
+    return run
+
+
+def difference(docs: DataFrame, target_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", discount: float = 0.75, block_tokens: int = _BLOCK) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score of all rows of docs, with the rows whose id is in target_ids.doc_id as target.
 
     Null texts count as empty; rows that repeat count each time; a null id is never target. With no target rows, or
-    an empty table, the target model is flat over the vocabulary. Other columns are ignored.
+    an empty table, the target model is flat over the vocabulary; without tokens all figures are 0. Other columns are
+    ignored. Words and pairs are told apart by 64-bit hashes.
     """
+    spark = docs.sparkSession
+    ship(spark)
+    shards = shuffle_width(spark)
     marked = target_ids.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_t")).distinct().hint("merge")
-    rows = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("text"))
-    model = fit(rows.join(marked, F.col("_d") == F.col("_t"), "left").select("text", F.col("_t").isNotNull().alias("target")), **options)
-    return score(docs, model, id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(marked, F.col("doc_id") == F.col("_t"), "left")
+    sent = staged(_blocks(rows.withColumn("target", F.col("_t").isNotNull()), shards, block_tokens), "blocks")
+    plain = "kind string, block string, shard int, body binary"
+    asked = sent.select("kind", "block", "shard", "body")
+    pairs = staged(asked.filter("kind = 'pair'").groupBy("shard").applyInArrow(_add_pairs(shards), plain), "pairs")
+    words = asked.filter("kind = 'word'").unionByName(pairs.filter("kind = 'kinds'"))
+    words = staged(words.groupBy("shard").applyInArrow(_add_words, f"{plain}, v long, n long, n_target long"), "words")
+    v, n, n_target = (x or 0 for x in words.filter("kind = 'total'").agg(F.sum("v"), F.sum("n"), F.sum("n_target")).first())
+    answers = pairs.filter("kind = 'pair'").unionByName(words.filter("kind = 'word'").select("kind", "block", "shard", "body"))
+    own = sent.filter("kind = 'doc'").unionByName(answers, allowMissingColumns=True)
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double"
+    return own.groupBy("block").applyInArrow(_score_block(v, (n, n_target), discount), schema)
