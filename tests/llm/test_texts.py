@@ -103,6 +103,18 @@ def test_pii_disguises(text, kind, found):
     assert [(k, text[a:b]) for k, a, b in base + added] == [(kind, found)]
 
 
+@pytest.mark.parametrize(
+    ("text", "left"),
+    [
+        ("to jоhn@example.com now", "to <EMAIL> now"), ("jane.dоe@example.com", "<EMAIL>"), ("ask anna at example dot ch", "ask <EMAIL>"), ("anna at mail dot example dot ca, hi", "<EMAIL>, hi"),
+        ("see john dot doe at example dot com", "see <EMAIL>"), ("j dot r dot doe [at] example [dot] com", "<EMAIL>"), ("look at the dot in it", "look at the dot in it"), ("a b@c.de and d@e.fr", "a <EMAIL> and <EMAIL>"),
+    ],
+)
+def test_pii_whole_addresses(text, left):
+    base, added = pii.all_spans(text)
+    assert pii.masked(text, base + added) == left and set(pii.plain_spans(text)) == set(base)
+
+
 def test_pii_frames(spark):
     df = frame(spark, [None, "", "a@b.co", "look at the dot on it", "a@b.co"])
     got = [r for r in pii.detect(df).orderBy("doc_id").collect()]

@@ -4,8 +4,8 @@ Plain detectors find emails, IPv4 addresses, payment cards and phone numbers. A
 then rewrites a copy of the text: look-alike letters and digits to ASCII (zero-width characters vanish), at/dot
 disguises to ``@`` and ``.``, runs of spelled digits to digits. Each step carries, for every character that it
 writes, the source span it stands for. The same detectors read the copy, and what they find is mapped back to
-source characters. Spans of the plain pass always stay; a disguised find is added where it overlaps none of its
-kind. Every pattern runs in time linear in the text.
+source characters. Spans of the plain pass always stay; a disguised find is added unless one of its kind holds it
+whole, so the two may overlap where the plain pass saw a part of an address. Every pattern runs in time linear in the text.
 """
 
 from __future__ import annotations
@@ -91,7 +91,11 @@ _SPOKEN_ITEM = re.compile(rf"(?i){_WORD}|[0-9]++|dot|point|punkt|punto")
 _PLUS = re.compile(r"(?i)(?<!\w)plus[\x20]{1,2}(?=[0-9])")
 _BRACKET_AT = re.compile(r"(?i)[\x20]?[\[({<][\x20]?(?:at|@)[\x20]?[\])}>][\x20]?")
 _BRACKET_DOT = re.compile(r"(?i)[\x20]?[\[({<][\x20]?(?:dot|\.)[\x20]?[\])}>][\x20]?")
-_BARE_AT = re.compile(r"(?i)(?<=[a-z0-9])\x20at\x20(?=[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,4}\x20dot\x20(?:[a-z0-9-]{1,63}\x20dot\x20){0,3}(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|us|example)(?!\w))")
+# a host before any last label, but for a determiner ("look at the dot on it") only before a label that ends addresses
+_LABEL = r"[a-z0-9-]{1,63}"
+_HOST = rf"{_LABEL}(?:\.{_LABEL}){{0,4}}\x20dot\x20(?:{_LABEL}\x20dot\x20){{0,3}}"
+_DETERMINER = r"(?:an?|the|this|that|these|those|each|every|any|some|no|one|my|your|his|her|its|our|their)\x20dot\x20"
+_BARE_AT = re.compile(rf"(?i)(?<=[a-z0-9])\x20at\x20(?={_HOST}(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|us|example)(?!\w)|(?!{_DETERMINER}){_HOST}[a-z]{{2,63}}(?!\w))")
 _BARE_DOT = re.compile(r"(?i)(?<=[a-z0-9])\x20dot\x20(?=[a-z0-9])")
 
 
@@ -136,6 +140,24 @@ def _foldable(text: str) -> bool:
         return True
 
 
+def _dots_before(text: str) -> list[tuple[int, int, str]]:
+    """Edits of the spelled dots in the local parts of addresses."""
+    edits, at = [], text.find("@")
+    while at >= 0:
+        start, own = at, []
+        while start > 0:
+            end = start
+            while start > 0 and text[start - 1] in _LOCAL:
+                start -= 1
+            if start == end or start < 6 or text[start - 5 : start].lower() != " dot " or text[start - 6] not in _LOCAL:
+                break
+            start -= 5
+            own.append((start, start + 5, "."))
+        edits += reversed(own)
+        at = text.find("@", at + 1)
+    return edits
+
+
 def normalised(text: str) -> Copy | None:
     """The text without its disguises, or None where it has none."""
     fold, low = _foldable(text), text.lower()
@@ -153,6 +175,7 @@ def normalised(text: str) -> Copy | None:
     copy.rewrite([(*m.span(), ".") for m in _BRACKET_DOT.finditer(copy.text)])
     copy.rewrite([(*m.span(), "@") for m in _BARE_AT.finditer(copy.text)])
     if "@" in copy.text:
+        copy.rewrite(_dots_before(copy.text))
         copy.rewrite([(*m.span(), ".") for m in _BARE_DOT.finditer(copy.text) if copy.text.rfind("@", max(0, m.start() - 128), m.start()) >= 0])
     spoken = []
     for m in _SPOKEN.finditer(copy.text):
@@ -179,7 +202,7 @@ def all_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     taken = {k: sorted((a, b) for kind, a, b in base if kind == k) for k in KINDS}
     for kind, a, b in plain_spans(copy.text):
         start, end = copy.starts[a], copy.ends[b - 1]
-        if all(end <= x or y <= start for x, y in taken[kind]):
+        if not any(x <= start and end <= y for x, y in taken[kind]):
             added.append((kind, start, end))
     return base, added
 
