@@ -56,6 +56,15 @@ def test_edges(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in brute(rows(), 5, 8, 10).items() if i == c}
 
 
+def test_null_id_before_a_linked_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [*words[:59], "other"]
+    df = spark.createDataFrame([(None, " ".join(words)), (7, " ".join(words)), (8, " ".join(near))], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["component_id"] for r in J.jaccard_classes(df, n=2, num=8, den=10).collect()}
+    assert got == {None: None, 7: 7, 8: 7}
+    assert {r["doc_id"] for r in J.keep_first(df, n=2, num=8, den=10).collect()} == {None, 7}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (102, 100), (7, 7), (50, 50)]
     got = {r["node"]: r["component"] for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}

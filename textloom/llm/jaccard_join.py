@@ -112,7 +112,7 @@ class Cells:
 
 
 def _sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (digest of the set), keys (null where this task has already given the set's)."""
+    """doc_id, n_shingles, d1, d2 (digest of the set), keys (none where doc_id is null or this task has already given the set's)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, cells, seen = Shingler(n), Cells(num, den), set()
@@ -120,10 +120,10 @@ def _sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             for at in range(0, batch.num_rows, _ROW_SETS):
                 part = batch.slice(at, _ROW_SETS)
                 sizes, digests, flat, cuts, given = [], [], [], [0], []
-                for text in part.column(1).to_pylist():
+                for known, text in zip(part.column(0).is_valid().to_pylist(), part.column(1).to_pylist(), strict=True):
                     s = shingle(text)
                     digest = (len(s), int(mixed(s + _WEIGHTS[0]).sum(dtype=_U)), int(mixed(s + _WEIGHTS[1]).sum(dtype=_U)))
-                    new = len(s) > 0 and digest not in seen
+                    new = known and len(s) > 0 and digest not in seen
                     if new:
                         if len(seen) >= _SEEN_SETS:
                             seen.clear()
