@@ -39,6 +39,34 @@ def test_kernel_against_its_definition():
         assert got == pytest.approx(slow_kernel(s, t, 3, 0.6))
 
 
+def test_kernel_is_cut_by_its_value_only():
+    marks = toxicity.Landmarks(["idiot", "moron", "stupid"])
+    rng = random.Random(9)
+    words = ["idxxioyyt", "moxxroyyn", "", "abc"]
+    for _ in range(600):
+        w = list(rng.choice(marks.strings))
+        for _ in range(rng.randint(0, 5)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice("idotmrnxyz"))
+        words.append("".join(w))
+    got = marks(words)
+    assert 0 in got and 1 in got
+    for i, w in enumerate(words):
+        for k, s in enumerate(marks.strings):
+            want = min(1, slow_kernel(w, s, 4, 0.6) / slow_kernel(s, s, 4, 0.6))
+            assert got.get(i, {}).get(k, 0) == (pytest.approx(want) if want >= 0.1 else 0)
+
+
+@pytest.mark.parametrize("text", ["you i  d  i  o  t now", "i - d - i - o - t", "i. d. i. o. t.", "i . d . i . o . t", "so i d i o t"])
+def test_spelled_words(text):
+    (got,) = toxicity.Reader(toxicity.Landmarks(["idiot"])).sentences([text])
+    assert got == [{0: pytest.approx(1)}]
+
+
+def test_single_letters_keep_sentences_apart():
+    (got,) = toxicity.Reader(toxicity.Landmarks(["idiot", "moron"])).sentences(["an idiot in plan b. I saw a moron"])
+    assert got == [{0: pytest.approx(1)}, {1: pytest.approx(1)}]
+
+
 def toxic_rows():
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(3, 9)))

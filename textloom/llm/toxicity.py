@@ -9,8 +9,8 @@ separates witness sentences, the worst of each labelled text, chosen anew in eac
 sentence, through a logistic curve fitted to the labelled texts.
 
 Words longer than a window are read in overlapping windows, so texts are read whole. A run of single letters is one
-word. The kernel is left at 0 for a word and landmark that don't share nearly all adjacent letter pairs (one letter
-may stand between); that keeps the quadratic part to the few words that matter.
+word, also with signs or stops between them. The kernel is 0 for a word and landmark whose longest common subsequence
+is shorter than ``p``; those are told by bits, so the quadratic part is left to the few words that can matter.
 """
 
 from __future__ import annotations
@@ -57,10 +57,6 @@ def _letters(words: list[str], width: int) -> np.ndarray:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), width)
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a * np.uint32(2654435761) ^ b * np.uint32(2246822519)) >> np.uint32(18)) & np.uint32(0x3FFF)
-
-
 @dataclass
 class Landmarks:
     """Kernel values of words with a set of landmark strings."""
@@ -73,53 +69,50 @@ class Landmarks:
     def __post_init__(self):
         self.codes = _letters(self.strings, _LONGEST)
         self.own = kernel(self.codes, self.codes, self.p, self.decay)
-        pairs = [sorted({int(_pair(c[i : i + 1], c[i + 1 : i + 2])[0]) for i in range(len(s) - 1)}) for s, c in zip(self.strings, self.codes, strict=True)]
-        bits = {x: i for i, x in enumerate(sorted({x for ps in pairs for x in ps}))}
-        self.width = max(1, -(-len(bits) // 64))
-        self.table = np.zeros((1 << 14, self.width), np.uint64)
-        for x, i in bits.items():
-            self.table[x, i // 64] |= np.uint64(1 << (i % 64))
-        self.masks = np.zeros((len(pairs), self.width), np.uint64)
-        for k, ps in enumerate(pairs):
-            for x in ps:
-                self.masks[k, bits[x] // 64] |= np.uint64(1 << (bits[x] % 64))
-        self.need = np.array([max(1, len(ps) - 1 - (len(ps) > 5)) for ps in pairs])
+        self.letters = np.unique(self.codes[self.codes > 0])
+        self.table = np.zeros((1 + len(self.letters), len(self.strings)), np.uint8)
+        for k, c in enumerate(self.codes):
+            for i, x in enumerate(c[c > 0]):
+                self.table[1 + np.searchsorted(self.letters, x), k] |= np.uint8(1 << i)
         k = np.array([[self._value([a], [j])[0] for j in range(len(self.strings))] for a in self.strings]) if self.strings else np.zeros((0, 0))
         gram = (k + k.T) / 2
         values, vectors = np.linalg.eigh(gram + 1e-3 * np.eye(len(gram))) if len(gram) else (np.zeros(0), gram)
         self.nystrom = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
 
     def _value(self, words: list[str], which: list[int]) -> np.ndarray:
-        return np.minimum(1, kernel(_letters(words, _WINDOW), self.codes[which], self.p, self.decay) / self.own[which])
+        width = min(_WINDOW, max(map(len, words), default=1))
+        return np.minimum(1, kernel(_letters(words, width), self.codes[which], self.p, self.decay) / self.own[which])
+
+    def _common(self, c: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of each row of letters with each landmark, one bit for each of its letters."""
+        at = np.minimum(np.searchsorted(self.letters, c), len(self.letters) - 1)
+        at = np.where(self.letters[at] == c, at + 1, 0)
+        state = np.full((len(c), len(self.strings)), 255, np.uint8)
+        for i in range(c.shape[1]):
+            met = state & self.table[at[:, i]]
+            state = (state + met) | (state - met)
+        return 8 - np.bitwise_count(state)
 
     def __call__(self, words: list[str]) -> dict[int, dict[int, float]]:
-        """For each word (by position) with a value above 0: landmark to value."""
-        windows, of = [], []
-        for i, w in enumerate(words):
-            if len(w) <= _WINDOW:
-                windows.append(w)
-                of.append(i)
-            else:
-                for a in range(0, len(w) - _WINDOW + _STEP, _STEP):
-                    windows.append(w[a : a + _WINDOW])
-                    of.append(i)
+        """For each word (by position) with a value of 0.1 or more: landmark to value."""
         out: dict[int, dict[int, float]] = {}
+        if not len(self.letters):
+            return out
+        windows: list[tuple[str, int]] = []
+        for i, w in enumerate(words):
+            if self.p <= len(w) <= _WINDOW:
+                windows.append((w, i))
+            elif len(w) > _WINDOW:
+                windows += [(w[a : a + _WINDOW], i) for a in range(0, len(w) - _WINDOW + _STEP, _STEP)]
+        windows.sort(key=lambda x: len(x[0]))
         for at in range(0, len(windows), 4096):
             part = windows[at : at + 4096]
-            c = _letters(part, _WINDOW)
-            seen = np.bitwise_or.reduce(self.table[_pair(c[:, :-1], c[:, 1:])], axis=1) | np.bitwise_or.reduce(self.table[_pair(c[:, :-2], c[:, 2:])], axis=1)
-            some = np.flatnonzero(seen.any(1))
-            if not len(some):
-                continue
-            shared = np.zeros((len(some), len(self.strings)), np.uint8)
-            for k in range(self.width):
-                shared += np.bitwise_count(seen[some, k, None] & self.masks[None, :, k])
-            w, l = np.nonzero(shared >= self.need)
+            w, l = np.nonzero(self._common(_letters([x for x, _ in part], len(part[-1][0]))) >= self.p)
             for b in range(0, len(w), 8192):
-                wi, li = some[w[b : b + 8192]], l[b : b + 8192]
-                for x, y, v in zip(wi.tolist(), li.tolist(), self._value([part[i] for i in wi.tolist()], li.tolist()).tolist(), strict=True):
+                wi, li = w[b : b + 8192].tolist(), l[b : b + 8192].tolist()
+                for x, y, v in zip(wi, li, self._value([part[i][0] for i in wi], li).tolist(), strict=True):
                     if v >= 0.1:
-                        mine = out.setdefault(of[at + x], {})
+                        mine = out.setdefault(part[x][1], {})
                         mine[y] = max(v, mine.get(y, 0.0))
         return out
 
@@ -128,12 +121,12 @@ class Reader:
     """The sentences of a text that hold a word near a landmark, as feature vectors."""
 
     def __init__(self, marks: Landmarks):
-        self.marks, self.words = marks, {}
+        self.marks, self.words, self.spelled = marks, {}, {}
 
     def _learn(self, new: list[str]) -> None:
         if len(self.words) > _CACHE_WORDS:
             self.words.clear()
-        bare = [re.sub(r"[^\w]|_", "", w) for w in new]
+        bare = list(map(_bare, new))
         found = self.marks(bare)
         for i, (w, b) in enumerate(zip(new, bare, strict=True)):
             self.words[w] = found.get(i, _SINGLE if len(b) == 1 else None)
@@ -154,42 +147,49 @@ class Reader:
                 self._gather(words, looked, active, out)
             yield out
 
+    def _spelled(self, words: list[str], singles: list[int]) -> list[tuple[int, int, dict[int, float]]]:
+        """First and last item and values of each run of single letters, with nothing but signs and spaces between them."""
+        runs: list[list[int]] = []
+        for i in singles:
+            if runs and not any(_bare(w) for w in words[runs[-1][-1] + 1 : i]):
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+        out = []
+        for run in runs:
+            if len(run) >= self.marks.p:
+                joined = "".join(_bare(words[i]) for i in run)
+                if joined not in self.spelled:
+                    if len(self.spelled) > _CACHE_WORDS:
+                        self.spelled.clear()
+                    self.spelled[joined] = self.marks([joined]).get(0, {})
+                out.append((run[0], run[-1], self.spelled[joined]))
+        return out
+
     def _gather(self, words: list[str], looked: list, active: list[int], out: list[dict[int, float]]) -> None:
+        singles = [i for i in active if looked[i] is _SINGLE]
+        found = self._spelled(words, singles) if len(singles) >= self.marks.p else []
+        inside = {j for a, z, _ in found for j in range(a, z)}  # a stop within a run ends no sentence
+        found += [(i, i, looked[i]) for i in active if looked[i] is not _SINGLE]
         current: dict[int, float] = {}
-        last, run = -1, []
-
-        def take(found: dict[int, float]) -> None:
-            for k, v in found.items():
-                if v > current.get(k, 0.0):
-                    current[k] = v
-
-        def close() -> None:
-            nonlocal run
-            if len(run) >= self.marks.p:
-                joined = "".join(re.sub(r"[^\w]|_", "", words[i]) for i in run)
-                for found in self.marks([joined]).values():
-                    take(found)
-            run = []
-
-        for i in active:
-            if last >= 0 and any(_ends(words[j]) for j in range(last, i)):
-                close()
+        last = -1
+        for a, z, values in sorted(found, key=lambda x: x[0]):
+            if last >= 0 and any(_ends(words[j]) for j in range(last, a) if j not in inside):
                 if current:
                     out.append(current)
                     current = {}
-            if looked[i] is _SINGLE:
-                if run and run[-1] != i - 1:
-                    close()
-                run.append(i)
-            else:
-                close()
-                take(looked[i])
-            last = i
-        close()
+            for k, v in values.items():
+                if v > current.get(k, 0.0):
+                    current[k] = v
+            last = z
         if current:
             out.append(current)
 
 
+def _bare(word: str) -> str:
+    return re.sub(r"[^\w]|_", "", word)
+
+
 def _ends(word: str) -> bool:
     return not _ENDS.isdisjoint(word)
 
