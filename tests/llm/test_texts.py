@@ -282,3 +282,13 @@ def test_near_fingerprints(spark):
     assert all(sets[i] == sets[j] and j == min(k for k in rep if sets[k] == sets[i]) for i, j in rep.items())
     want = {(i, j) for i in set(rep.values()) for j in set(rep.values()) if i < j and sets[i] and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
     assert {(r["a"], r["b"]) for r in pairs.collect()} == want
+
+
+@pytest.mark.parametrize("size", [63, 127, 500])
+def test_fingerprints_of_near_copies_at_any_length(spark, size):
+    words = [f"w{i}" for i in range(size)]
+    mixed = [w if i % 4 else "the" for i, w in enumerate(words)]
+    texts = [" ".join(x) for w in (words, mixed) for x in (w, [*w, "more"])]
+    prints = spotsigs.fingerprints(frame(spark, texts))
+    _, pairs = spotsigs.near_fingerprints(prints, 0.8)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} >= {(0, 1), (2, 3)}

@@ -2,9 +2,7 @@
 
 A spot signature is a common word (the anchor) with the chain of content words that follows it; common words inside
 the chain are skipped. A document's fingerprint is the set of its signatures as 32-bit hashes. So that texts with
-few or no anchors have one too, it also holds hashes of single content words, thinned by halves as texts grow (a
-word stays when the low bits of its hash are 0; the number of bits follows the text's number of words), which keeps
-some 32 to 64 of them and makes the words kept at one length a part of those kept at a shorter one.
+few or no anchors have one too, it also holds the hashes of all single content words.
 
 Fingerprints are compared by Jaccard similarity. The join over all documents collapses equal fingerprints,
 partitions the rest by set length so that only lengths within the threshold's ratio of each other meet, lets a set
@@ -38,9 +36,7 @@ def signatures(w: Column, chain: int = 3, reach: int = 8) -> Column:
     """The fingerprint of a list of words (a column of its own, as it is read often): sorted distinct integers."""
     common = lambda x: x.isin(*ANCHORS)
     spots = F.transform(w, lambda x, i: F.when(common(x), F.hash(x, F.slice(F.filter(F.slice(w, i + 2, reach), lambda y: ~common(y)), 1, chain))))
-    bits = F.floor(F.log2(F.greatest(F.size(w) / F.lit(32.0), F.lit(1.0)))).cast("int")
-    low = (F.pow(F.lit(2), bits) - F.lit(1)).cast("int")
-    single = F.transform(w, lambda x: F.when(~common(x) & (F.hash(x).bitwiseAND(low) == 0), F.hash(x)))
+    single = F.transform(w, lambda x: F.when(~common(x), F.hash(x)))
     return F.sort_array(F.array_distinct(F.filter(F.concat(spots, single), lambda x: x.isNotNull())))
 
 
