@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -255,6 +256,15 @@ def test_packing(spark):
     assert bins.used.sum() / bins.cap.sum() > 0.95 and packing.best_fit(df.limit(0)).count() == 0
 
 
+def test_packing_tries_every_set_of_sizes():
+    rng = random.Random(12)
+    for _ in range(60):
+        n = np.array(sorted((min(8192, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(rng.randint(3, 60))), reverse=True))
+        _, used = packing.best_packing(n, packing.SIZES)
+        least = min(packing.packed(n, c, packing.SIZES)[2] for k in range(1, 1 + len(packing.SIZES)) for c in combinations(packing.SIZES, k))
+        assert sum(packing.cost(packing.fitted(int(u), packing.SIZES)) for u in used) == least
+
+
 def test_edited_likeness(spark):
     rng = random.Random(6)
     common = ["the", "of", "and", "der", "la"]

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -85,9 +86,9 @@ def packed(lengths: np.ndarray, openable: tuple[int, ...], sizes: tuple[int, ...
 
 
 def best_packing(lengths: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """The cheapest packing over the sets of sizes that may be opened: each single size and each run up to the largest."""
-    choices = {sizes[k:] for k in range(len(sizes))} | {(s,) for s in sizes} | {(sizes[0], sizes[-1])}
-    best = min((packed(lengths, c, sizes) for c in sorted(choices)), key=lambda x: x[2])
+    """The cheapest packing over all sets of sizes that may be opened."""
+    choices = sorted(c for k in range(1, len(sizes) + 1) for c in combinations(sizes, k))
+    best = min((packed(lengths, c, sizes) for c in choices), key=lambda x: x[2])
     return best[0], best[1]
 
 
