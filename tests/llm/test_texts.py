@@ -59,13 +59,13 @@ def test_kernel_is_cut_by_its_value_only():
 
 @pytest.mark.parametrize("text", ["you i  d  i  o  t now", "i - d - i - o - t", "i. d. i. o. t.", "i . d . i . o . t", "so i d i o t"])
 def test_spelled_words(text):
-    (got,) = toxicity.Reader(toxicity.Landmarks(["idiot"])).sentences([text])
-    assert got == [{0: pytest.approx(1)}]
+    ((got, n),) = toxicity.Reader(toxicity.Landmarks(["idiot"])).sentences([text])
+    assert got == [({0: pytest.approx(1)}, 1)] and n == len(text.split(" "))
 
 
 def test_single_letters_keep_sentences_apart():
-    (got,) = toxicity.Reader(toxicity.Landmarks(["idiot", "moron"])).sentences(["an idiot in plan b. I saw a moron"])
-    assert got == [{0: pytest.approx(1)}, {1: pytest.approx(1)}]
+    ((got, _),) = toxicity.Reader(toxicity.Landmarks(["idiot", "moron"])).sentences(["an idiot in plan b. I saw a moron and an idiot"])
+    assert got == [({0: pytest.approx(1)}, 1), ({0: pytest.approx(1), 1: pytest.approx(1)}, 2)]
 
 
 def toxic_rows():
@@ -87,8 +87,36 @@ def test_toxicity(spark):
     got = {r["doc_id"]: r for r in toxicity.classify(docs, labels).collect()}
     held = [(got[i]["predicted"], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
     assert sum(p == y for p, y in held) / len(held) > 0.95 and got[900]["score"] == got[901]["score"] and got[902]["predicted"] == 1
-    assert toxicity.classify(docs, labels.limit(0)).select("score").distinct().count() == 1
-    assert toxicity.drop_toxic(docs, labels).columns == docs.columns
+    assert {tuple(r) for r in toxicity.classify(docs, labels.limit(0)).select("score", "predicted").collect()} == {(0.0, 0)}
+    assert toxicity.drop_toxic(docs, labels).columns == docs.columns and toxicity.drop_toxic(docs, labels.limit(0)).count() == docs.count()
+    assert toxicity.classify(docs.limit(0), labels).count() == 0 == toxicity.drop_toxic(docs.limit(0), labels).count()
+
+
+def test_toxicity_edges(spark):
+    """Null ids beside large ones, repeated rows and ids, very long texts, labels that repeat, against scores by hand."""
+    rows, big = toxic_rows(), 2**53 + 1
+    long = "quiet words " * 60_000
+    odd = [(None, "an idiot", ""), (big, "an idiot", ""), (big, "an idiot", ""), (big + 2, long + "idiot", ""), (big + 4, long, ""), (5, None, ""), (None, None, "")]
+    docs = spark.createDataFrame([(i, t, "") for i, t, _ in rows] + odd, SCHEMA)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(0, 0), (None, 1), (7, None)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert "idiot" in model.marks.strings and "moron" in model.marks.strings
+    reader = toxicity.Reader(model.marks)
+    want = Counter((i, round(model.scores(list(reader.sentences([t or ""])))[0], 12)) for i, t, _ in [(i, t, "") for i, t, _ in rows] + odd)
+    assert Counter((r[0], round(r[1], 12)) for r in toxicity.classify(docs, labels).select("doc_id", "score").collect()) == want
+    left = Counter((r[0], r[1]) for r in toxicity.drop_toxic(docs, labels).select("doc_id", "text").collect())
+    assert left[5, None] == 1 and left[None, None] == 1 and not left[big, "an idiot"] and not left[None, "an idiot"] and left[big + 4, long]
+    sample = toxicity.labelled_sample(docs.unionByName(docs), labels, "toxic", toxicity.F.lit(True), (20, 10)).collect()
+    assert len(sample) == 30 and len({r["doc_id"] for r in sample}) == 30
+
+
+def test_landmarks_ignore_copies(spark):
+    word = random.Random(5)
+    text = lambda: " ".join(f"{word.choice('bcdfg')}{word.randrange(10**6)}" for _ in range(12))
+    copied = text() + " passage " + text()
+    rows = [(i, copied, 1) for i in range(40)] + [(100 + i, f"{text()} moron {text()}", 1) for i in range(20)] + [(200 + i, text(), 0) for i in range(60)]
+    found = {g: (t, c) for g, t, c in toxicity.candidates(spark.createDataFrame(rows, "doc_id long, text string, y int"), 4, 500)}
+    assert found["moron"] == (20, 0) and "passage" not in found
 
 
 def test_bradley_terry(spark):

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _SHIPPED: dict[str, str] = {}
 
@@ -19,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Where the setting is absent (local tests) a temporary folder stands in for it.
+    Where the setting is absent and the master is local (tests) a temporary folder stands in for it; on a cluster
+    that is an error, as executors share no such folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -55,3 +64,39 @@ def ship(spark: SparkSession) -> None:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def per_text(docs: DataFrame, columns: str, make: Callable[[], Callable[[list[str]], list]], id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> DataFrame:
+    """doc_id and columns (a DDL list) for each row of docs.
+
+    make gives a task its function from texts to a list or array for each column. Null texts reach it as empty ones. It gets at most
+    rows texts at a time. Ids never leave Arrow, so a null id beside them changes none.
+    """
+    ship(docs.sparkSession)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T.StructType.fromDDL(columns)])
+    own = [f.type for f in to_arrow_schema(schema)]
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                got = of([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(got, own[1:], strict=True))], names)
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def one_of_each(docs: DataFrame, key: str, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose key is in kept (key, n: how many rows of docs have it); of rows that share a key, one.
+
+    A key's rows meet in one task only after each task has merged its own, so any number of them may share a key.
+    """
+    found = docs.join(kept, key)
+    once = found.filter("n = 1").drop("n", key)
+    if kept.filter("n > 1").isEmpty():
+        return once
+    names = [c for c in docs.columns if c != key]
+    many = found.filter("n > 1").groupBy(key).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in names])).alias("_row"))
+    return once.unionByName(many.select([F.col("_row").getField(c).alias(c) for c in names]))

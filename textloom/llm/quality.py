@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import ship, staged
-from textloom.llm.toxicity import _platt, bucket
+from textloom.llm.toxicity import _logistic, bucket
 
 FEATURES = ("log_words", "upper", "symbols", "bars", "bangs", "digits", "word_length", "distinct_words", "repeated_lines", "lines", "stops", "commas", "short_words", "other_bytes", "capitals", "longest_word", "common_word")
 _PUNCTUATION = np.zeros(256, bool)
@@ -96,7 +96,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, pairs_each: int = 12, seed: int = 7) ->
     order = np.concatenate([rng.permutation(many) for _ in range(-(-len(a) // len(many)))])[: len(a)]
     winners, losers = (order, a) if few is bad else (a, order)
     model = fit_pairs(x, winners, losers)
-    model.slope, model.offset = _platt(model.latent(x), y)
+    model.slope, model.offset = _logistic(model.latent(x)[:, None], y)
     return model
 
 
