@@ -10,7 +10,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -88,15 +88,23 @@ def per_text(docs: DataFrame, columns: str, make: Callable[[], Callable[[list[st
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def one_of_each(docs: DataFrame, key: str, kept: DataFrame) -> DataFrame:
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
+def one_of_each(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
     """The rows of docs whose key is in kept (key, n: how many rows of docs have it); of rows that share a key, one.
 
     A key's rows meet in one task only after each task has merged its own, so any number of them may share a key.
     """
-    found = docs.join(kept, key)
-    once = found.filter("n = 1").drop("n", key)
-    if kept.filter("n > 1").isEmpty():
+    kept, k, n, row = staged(kept, "kept"), *(unused(docs, x) for x in ("_key", "_n", "_row"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    found = docs.withColumn(k, key).join(kept.toDF(k, n), k)
+    once = found.filter(F.col(n) == 1).select(own)
+    if kept.filter(F.col(kept.columns[1]) > 1).isEmpty():
         return once
-    names = [c for c in docs.columns if c != key]
-    many = found.filter("n > 1").groupBy(key).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in names])).alias("_row"))
-    return once.unionByName(many.select([F.col("_row").getField(c).alias(c) for c in names]))
+    many = found.filter(F.col(n) > 1).groupBy(k).agg(F.first(F.struct(own)).alias(row))
+    return once.unionByName(many.select([F.col(row).getField(c).alias(c) for c in docs.columns]))

@@ -5,23 +5,23 @@ absolute discounting over all words and all bigrams of the corpus; what the disc
 frequency, so each context sums to 1. A document scores the mean over its tokens of the background's loss less the
 target's: higher is more like the target.
 
-``difference`` never holds a model in one place. Documents are cut into blocks of tokens. A block sends its distinct
-pairs and words, as packed arrays by ranges of their 64-bit hashes, to shards that add up the counts of all blocks;
-the shards answer each block with the totals in the order it asked, and the block scores its documents.
-
-``fit`` and ``score`` are for a model small enough to carry: the ``words`` most frequent words with classes of shape
-for the rest, and the most frequent bigrams up to ``bigrams``.
+No model is ever held in one place, and nothing is cut: tables grow with the corpus over as many shards as the shuffle
+has partitions. Documents are cut into blocks of tokens. Blocks and shards then write to each other, in packed arrays:
+
+1. a block sends the hashes of its distinct words to the words' shards, which number all words, frequent ones first;
+2. a block sends its distinct bigrams, as numbers in ascending order, to the bigrams' shards, and its words' counts;
+3. bigrams' shards add up, answer each block in the order it asked, and tell the words' shards how many different
+   words follow each; these add up and answer too;
+4. a block scores its documents by the answers.
 """
 
 from __future__ import annotations
 
-import pickle
+import struct
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -31,268 +31,87 @@ from pyspark.sql import functions as F
 from textloom.llm.common import ship, shuffle_width, staged
 from textloom.llm.jaccard_join import mixed
 
-_CLASSES, _CHUNK, _CACHE_WORDS = 64, 1 << 20, 1 << 18
 _BLOCK, _U = 1 << 21, np.uint64
-
-
-def shape(word: bytes) -> int:
-    """One of _CLASSES shapes: length, an upper-case start, digits, signs, bytes beyond ASCII."""
-    size = 0 if len(word) <= 4 else 1 if len(word) <= 7 else 2 if len(word) <= 12 else 3
-    signs = any(c < 128 and not chr(c).isalnum() for c in word[:-1]) or len(word) > 1 and word[-1] in b"$%&*#!|=<>{}"
-    return size + 4 * (65 <= word[0] <= 90) + 8 * any(48 <= c <= 57 for c in word) + 16 * signs + 32 * any(c >= 128 for c in word)
-
-
-class Ids:
-    """Words to ids: 0 starts a document, then the shapes, then the vocabulary by rank."""
-
-    def __init__(self, vocabulary: list[str]):
-        self.own = {w.encode(): i + 1 + _CLASSES for i, w in enumerate(vocabulary)}
-        self.size = 1 + _CLASSES + len(vocabulary)
-        self.rest: dict[bytes, int] = {}
-
-    def __call__(self, text: str | None) -> list[int]:
-        words = (text or "").encode().split()
-        own, rest = self.own, self.rest
-        if len(rest) > _CACHE_WORDS:
-            rest.clear()
-        out = [own.get(w) or rest.get(w) for w in words]
-        if None in out:
-            for i, x in enumerate(out):
-                if x is None:
-                    out[i] = rest[words[i]] = 1 + shape(words[i])
-        return out
-
-
-def vocabulary(docs: DataFrame, words: int, text_col: str = "text") -> list[str]:
-    """The most frequent words of all texts, ties in the order of the words; words bounds what the driver gets."""
-    split = F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+")
-    counts = docs.select(F.explode_outer(split).alias("w")).filter("w <> ''").groupBy("w").count()
-    return [r[0] for r in counts.orderBy(F.desc("count"), "w").limit(words).select("w").collect()]
-
-
-def bigram_counts(docs: DataFrame, known: list[str]) -> DataFrame:
-    """(pair, n, n_target): how often each pair of ids follows in all documents and in those of docs.target.
-
-    docs: text, target (boolean). A pair is previous id times the number of ids plus id. Tasks add up what they read
-    before anything is shuffled.
-    """
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = Ids(shared.value)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        codes: list[np.ndarray] = []
-        marks: list[tuple[int, bool]] = []
-        waiting = 0
-
-        def fold(parts):
-            pair, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return pair, *(np.bincount(back, np.concatenate([p[k] for p in parts]), len(pair)).astype(np.int64) for k in (1, 2))
-
-        def settle():
-            nonlocal codes, marks, waiting
-            if codes:
-                target = np.repeat([float(t) for _, t in marks], [n for n, _ in marks])
-                held.append(fold([(np.concatenate(codes), np.ones(waiting), target)]))
-                codes, marks, waiting = [], [], 0
-            if len(held) >= 6:
-                held[:] = [fold(held)]
-
-        for pdf in batches:
-            for text, target in zip(pdf["text"], pdf["target"], strict=True):
-                if got := ids(text):
-                    a = np.array([0, *got], np.int64)
-                    codes.append(a[:-1] * ids.size + a[1:])
-                    marks.append((len(got), bool(target)))
-                    waiting += len(got)
-                    if waiting >= _CHUNK:
-                        settle()
-        settle()
-        if held:
-            pair, n, n_target = fold(held)
-            for at in range(0, len(pair), 100_000):
-                yield pd.DataFrame({"pair": pair[at : at + 100_000], "n": n[at : at + 100_000], "n_target": n_target[at : at + 100_000]})
-
-    return docs.select("text", "target").mapInPandas(run, "pair long, n long, n_target long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-@dataclass
-class Model:
-    """Probabilities of one model: of kept pairs beyond the discount, of words, and what each context leaves over."""
-
-    mass: np.ndarray
-    word: np.ndarray
-    left: np.ndarray
-
-    @classmethod
-    def fit(cls, pairs: np.ndarray, counts: np.ndarray, contexts: np.ndarray, words: np.ndarray, discount: float, size: int) -> Model:
-        of = pairs // size
-        mass = np.maximum(counts - discount, 0) / np.maximum(contexts[of], 1)
-        left = 1 - np.bincount(of, mass, size)
-        word = (words + 0.5) / (words.sum() + 0.5 * size)
-        return cls(mass, word, np.where(contexts > 0, np.maximum(left, 1e-9), 1.0))
-
-
-@dataclass
-class Difference:
-    known: list[str]
-    pairs: np.ndarray
-    target: Model
-    background: Model
-
-
-def fit(docs: DataFrame, *, words: int = 8192, bigrams: int = 1 << 18, discount: float = 0.75) -> Difference:
-    """Both models from all rows of docs (text, target). words and bigrams bound the model's size, not the counts'."""
-    known = vocabulary(docs, words)
-    size = 1 + _CLASSES + len(known)
-    table = staged(bigram_counts(docs, known), "bigrams")
-
-    def totals(key):
-        out = np.zeros((2, size))
-        got = table.groupBy(key.alias("k")).agg(F.sum("n"), F.sum("n_target")).collect()  # one row for each id at most
-        for k, n, t in got:
-            out[:, k] = n, t
-        return out
-
-    contexts = totals(F.floor(F.col("pair") / size).cast("long"))
-    ends = totals((F.col("pair") % size).cast("long"))
-    # the least count at which the pairs fit: a histogram of counts, cut at 4096 from above, has few rows
-    steps = sorted(((r[0], r[1]) for r in table.groupBy(F.least("n", F.lit(4096)).alias("c")).count().collect()), reverse=True)
-    held, least = 0, 2
-    for c, n in steps:
-        if held + n > bigrams:
-            least = c + 1
-            break
-        held += n
-    kept = table.filter(F.col("n") >= max(2, least)) if least <= 4096 else table.orderBy(F.desc("n"), "pair").limit(bigrams)
-    got = kept.toArrow()  # at most bigrams rows
-    order = np.argsort(np.asarray(got["pair"], np.int64))
-    pairs = np.asarray(got["pair"], np.int64)[order]
-    make = lambda k, column: Model.fit(pairs, np.asarray(got[column], float)[order], contexts[k], ends[k], discount, size)
-    return Difference(known, pairs, make(1, "n_target"), make(0, "n"))
-
-
-def score(docs: DataFrame, model: Difference, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score for each row of docs; without tokens all are 0."""
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        ids = Ids(m.known)
-
-        def losses(part: pd.DataFrame) -> pd.DataFrame:
-            rows = [ids(t) for t in part["text"]]
-            n = np.array([len(r) for r in rows], np.int64)
-            flat = np.concatenate([np.array([0, *r], np.int64) for r in rows])
-            at = np.ones(len(flat), bool)
-            at[np.cumsum(n + 1) - n - 1] = False
-            prev, cur = flat[:-1][at[1:]], flat[at]
-            code = prev * ids.size + cur
-            near = np.minimum(np.searchsorted(m.pairs, code), max(0, len(m.pairs) - 1))
-            hit = m.pairs[near] == code if len(m.pairs) else np.zeros(len(code), bool)
-            out = {}
-            doc = np.repeat(np.arange(len(n)), n)
-            for name, x in (("target_loss", m.target), ("background_loss", m.background)):
-                p = x.left[prev] * x.word[cur]
-                p[hit] += x.mass[near[hit]]
-                out[name] = np.bincount(doc, -np.log(p), len(n)) / np.maximum(n, 1)
-            return pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": n, **out, "score": out["background_loss"] - out["target_loss"]})
-
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                yield losses(pdf.iloc[at : at + 256])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+_SENT = pa.schema([("kind", pa.string()), ("block", pa.string()), ("shard", pa.int32()), ("body", pa.binary())])
+_PLAIN = "kind string, block string, shard int, body binary"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    small = [a if a.dtype == _U else a.astype(np.min_scalar_type(a.max(initial=0))) for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(small, protocol=5))
+    """Arrays of non-negative integers, each as narrow as it can be, byte by byte of all its items."""
+    out = []
+    for a in arrays:
+        a = np.ascontiguousarray(a, np.min_scalar_type(int(a.max(initial=0))))
+        out += (struct.pack("<BQ", a.itemsize, len(a)), np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def _unpack(body: bytes) -> list[np.ndarray]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(body))
+    raw, at, out = zstandard.ZstdDecompressor().decompress(body), 0, []
+    while at < len(raw):
+        size, n = struct.unpack_from("<BQ", raw, at)
+        at += 9
+        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{size}").reshape(n))
+        at += n * size
+    return out
 
 
-def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's range starts in sorted keys, and the end."""
-    return np.searchsorted((((keys >> _U(32)) * _U(shards)) >> _U(32)).astype(np.int64), np.arange(shards + 1))
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Ascending integers as the steps between them; np.cumsum undoes it."""
+    return np.diff(keys, prepend=keys.dtype.type(0))
 
 
-def _pairs(words: np.ndarray, prev: np.ndarray, cur: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Keys of a block's distinct pairs in ascending order, the words of each, and each token's pair."""
-    code, back = np.unique(prev * np.int64(max(1, len(words))) + cur, return_inverse=True)
-    a, b = code // max(1, len(words)), code % max(1, len(words))
-    keys = mixed(mixed(words[a] + _U(1)) + words[b])
-    order = np.argsort(keys, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return keys[order], a[order], b[order], rank[back]
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each 64-bit hash: equal ranges."""
+    return (((keys >> _U(32)) * _U(shards)) >> _U(32)).astype(np.int64)
 
 
-def _steps(local: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Previous word and word of each token; local holds a block's words with a 0, the start, before each document that has any."""
-    full = n[n > 0]
-    start = np.zeros(len(local), bool)
-    start[np.cumsum(full + 1) - full - 1] = True
-    return local[:-1][~start[1:]].astype(np.int64), local[~start].astype(np.int64)
+def _parcels(shard: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that puts shards together, else as it was, and (shard, from, to) of those that get something."""
+    order = np.argsort(shard.astype(np.min_scalar_type(shards)), kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
+    return order, [(s, i, j) for s, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
 
 
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+def _home(number: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of a word's number and its place there; 0, the start of a document, lives at place 0 of the last shard."""
+    return (number + shards - 1) % shards, (number + shards - 1) // shards
 
 
-_SENT = pa.schema([("kind", pa.string()), ("block", pa.string()), ("shard", pa.int32()), ("body", pa.binary())])
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def _blocks(docs: DataFrame, shards: int, block_tokens: int) -> DataFrame:
-    """Rows of docs (doc_id, text, target) in blocks: kind, block, shard, body, ids.
+    """Rows of docs (doc_id, text) in blocks: kind, block, shard, body, ids.
 
-    A ``doc`` row has a block's ids, texts' lengths, distinct words' hashes and its words as places among them; a
-    ``pair`` row a shard's keys, previous words, n and n_target; a ``word`` row a shard's hashes, counts as word and
-    as context, each in all documents and in those of target.
+    A ``doc`` row has a block's ids, texts' lengths and its words as places among the block's distinct words, these in
+    order of their hashes; a ``word`` row has a shard's hashes and counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        ids, sizes, marks, held, waiting = [], [], [], [np.zeros(0, _U)], 0
-        schema = None
+        ids, held, schema, waiting = [], [], None, 0
 
         def settle() -> pa.RecordBatch:
-            nonlocal ids, sizes, marks, held, waiting
-            block, n, mark = uuid.uuid4().hex, np.array(sizes, np.int64), np.array(marks, bool)
-            words, local = np.unique(np.concatenate([np.zeros(1, _U), *held]), return_inverse=True)  # the start, 0, is always first
-            local = local[1:]
-            prev, cur = _steps(local, n)
-            target = np.repeat(mark, n).astype(float)
-            keys, a, _, of = _pairs(words, prev, cur)
-            count = lambda at, size, w=None: np.bincount(at, w, size).astype(np.int64)
-            pair = keys, words[a], count(of, len(keys)), count(of, len(keys), target)
-            word = words, count(cur, len(words)), count(cur, len(words), target), count(prev, len(words)), count(prev, len(words), target)
-            rows = [("doc", block, 0, _pack(n, words, local), ids)]
-            for kind, arrays in (("pair", pair), ("word", word)):
-                cuts = _cuts(arrays[0], shards)
-                rows += [(kind, block, s, _pack(*[x[i:j] for x in arrays]), None) for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
-            ids, sizes, marks, held, waiting = [], [], [], [np.zeros(0, _U)], 0
+            nonlocal known, ids, held, waiting
+            block, sizes = uuid.uuid4().hex, np.fromiter(map(len, held), np.int64, len(held))
+            hashes, back = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, known), _U, len(known)), return_inverse=True)
+            local = back[np.concatenate(held)] if held else np.zeros(0, np.int64)
+            counts = np.bincount(local, minlength=len(hashes))
+            rows = [("doc", block, 0, _pack(sizes, local), ids)]
+            rows += [("word", block, s, _pack(hashes[i:j], counts[i:j]), None) for s, i, j in _parcels(_shard(hashes, shards), shards)[1]]
+            known, ids, held, waiting = {}, [], [], 0
             return _rows(rows, schema)
 
         for batch in batches:
             schema = schema or _SENT.append(pa.field("ids", pa.list_(batch.schema.field(0).type)))
-            for key, text, target in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = (text or "").encode().split()
+                for w in set(found).difference(known):
+                    known[w] = len(known)
                 ids.append(key)
-                sizes.append(len(found))
-                marks.append(bool(target))
-                if found:
-                    if len(known) > _CACHE_WORDS:
-                        known.clear()
-                    for w in set(found).difference(known):
-                        known[w] = xxhash.xxh64_intdigest(w) or 1
-                    held += [np.zeros(1, _U), np.fromiter(map(known.__getitem__, found), _U, len(found))]
+                held.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
                 waiting += len(found) + 1
                 if waiting >= block_tokens:
                     yield settle()
@@ -300,23 +119,94 @@ def _blocks(docs: DataFrame, shards: int, block_tokens: int) -> DataFrame:
             yield settle()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "target").mapInArrow(run, f"kind string, block string, shard int, body binary, ids array<{kind}>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"{_PLAIN}, ids array<{kind}>")
+
+
+def _number(shards: int):
+    """Of a shard's ``word`` rows: ``id`` answers, the words' numbers from 1; frequent words have small ones."""
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = [_unpack(b) for b in t["body"].to_pylist()]
+        u, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        total = np.bincount(back, np.concatenate([p[1] for p in parts]), len(u))
+        place = np.empty(len(u), np.int64)
+        place[np.argsort(-total, kind="stable")] = np.arange(len(u))
+        answers = np.split(place[back], np.cumsum([len(p[0]) for p in parts])[:-1])
+        shard = t["shard"].to_pylist()
+        return pa.Table.from_batches([_rows([("id", b, s, _pack(at * shards + s + 1)) for b, s, at in zip(t["block"].to_pylist(), shard, answers, strict=True)], _SENT)])
+
+    return run
+
+
+class _Block:
+    """A block's documents, words in order of their numbers (0, the start, first) and distinct bigrams."""
+
+    def __init__(self, rows: list[dict], shards: int):
+        self.rows, self.shards = rows, shards
+        doc = next(r for r in rows if r["kind"] == "doc")
+        self.n, local = (x.astype(np.int64) for x in _unpack(doc["body"]))
+        self.numbers = np.concatenate([np.zeros(1, np.int64), *self.answers("id", 1)]).astype(np.int64)
+        order = np.argsort(self.numbers)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.numbers = self.numbers[order]
+        self.cur = place[local + 1]
+        self.prev = np.concatenate([np.zeros(1, np.int64), self.cur[:-1]])[: len(self.cur)]
+        full = self.n[self.n > 0]
+        self.prev[np.cumsum(full) - full] = 0
+        code, self.pair_of, self.pair_n = np.unique(self.prev * len(order) + self.cur, return_inverse=True, return_counts=True)
+        self.a, self.b = code // len(order), code % len(order)
+        keys = mixed(mixed(self.numbers[self.a].astype(_U) + _U(1)) + self.numbers[self.b].astype(_U))
+        self.pair_order, self.pair_parcels = _parcels(_shard(keys, shards), shards)
+        shard, self.places = _home(self.numbers, shards)
+        self.word_order, self.word_parcels = _parcels(shard, shards)
+
+    def answers(self, kind: str, width: int) -> list[np.ndarray]:
+        """The arrays of this block's rows of a kind, each joined over the shards."""
+        own = [_unpack(r["body"]) for r in sorted((r for r in self.rows if r["kind"] == kind), key=lambda r: r["shard"])]
+        return [np.concatenate(x) for x in zip(*own, strict=True)] or [np.zeros(0, np.int64)] * width
+
+
+def _ask(shards: int):
+    """Of a block's rows: ``pair`` rows (numbers of both words, n, n_target) and ``word`` rows (places, counts as word and as context, each in all and in target documents)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        k = _Block(rows, shards)
+        mark = np.zeros(len(k.n), bool)
+        mark[[i for r in rows if r["kind"] == "target" for i in r["at"]]] = True
+        target = np.repeat(mark, k.n).astype(float)
+        count = lambda at, size, w=None: np.bincount(at, w, size).astype(np.int64)
+        m, name, out = len(k.numbers), rows[0]["block"], []
+        pair = k.numbers[k.a], k.numbers[k.b], k.pair_n, count(k.pair_of, len(k.a), target)
+        for s, i, j in k.pair_parcels:
+            a, *rest = (x[k.pair_order[i:j]] for x in pair)
+            out.append(("pair", name, s, _pack(_steps(a), *rest)))
+        word = k.places, count(k.cur, m), count(k.cur, m, target), count(k.prev, m), count(k.prev, m, target)
+        for s, i, j in k.word_parcels:
+            a, *rest = (x[k.word_order[i:j]] for x in word)
+            out.append(("word", name, s, _pack(_steps(a), *rest)))
+        return pa.Table.from_batches([_rows(out, _SENT)])
+
+    return run
 
 
 def _add_pairs(shards: int):
-    """Of a shard's ``pair`` rows: ``pair`` answers (n and n_target), and ``kinds`` rows (contexts, how many words follow each)."""
+    """Of a shard's ``pair`` rows: ``pair`` answers (n and n_target in all), and ``kinds`` rows (places of contexts, how many words follow each, in all and in target documents)."""
 
     def run(t: pa.Table) -> pa.Table:
         parts = [_unpack(b) for b in t["body"].to_pylist()]
-        u, first, back = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-        total = [np.bincount(back, np.concatenate([p[k] for p in parts]), len(u)).astype(np.int64) for k in (2, 3)]
-        ends = np.cumsum([len(p[0]) for p in parts])
-        asked = zip(t["block"].to_pylist(), t["shard"].to_pylist(), np.split(back, ends[:-1]), strict=True)
+        a = np.concatenate([np.cumsum(p[0], dtype=np.int64) for p in parts])
+        b, n, n_target = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+        u, first, back = np.unique(mixed(mixed(a.astype(_U) + _U(1)) + b.astype(_U)), return_index=True, return_inverse=True)
+        total = [np.bincount(back, x, len(u)).astype(np.int64) for x in (n, n_target)]
+        asked = zip(t["block"].to_pylist(), t["shard"].to_pylist(), np.split(back, np.cumsum([len(p[0]) for p in parts])[:-1]), strict=True)
         rows = [("pair", block, s, _pack(total[0][at], total[1][at])) for block, s, at in asked]
-        contexts, of = np.unique(np.concatenate([p[1] for p in parts])[first], return_inverse=True)
+        contexts, of = np.unique(a[first], return_inverse=True)
         kinds = [np.bincount(of, w, len(contexts)).astype(np.int64) for w in (None, (total[1] > 0).astype(float))]
-        cuts = _cuts(contexts, shards)
-        rows += [("kinds", None, s, _pack(contexts[i:j], kinds[0][i:j], kinds[1][i:j])) for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+        shard, place = _home(contexts, shards)
+        order, parcels = _parcels(shard, shards)
+        rows += [("kinds", None, s, _pack(_steps(place[order[i:j]]), *(x[order[i:j]] for x in kinds))) for s, i, j in parcels]
         return pa.Table.from_batches([_rows(rows, _SENT)])
 
     return run
@@ -325,9 +215,8 @@ def _add_pairs(shards: int):
 def _add_words(t: pa.Table) -> pa.Table:
     """Of a shard's ``word`` and ``kinds`` rows: ``word`` answers (the four counts and both kinds), and one ``total`` row (words, tokens, those of target)."""
     parts = [_unpack(b) for b in t["body"].to_pylist()]
-    u, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    total = np.zeros((6, len(u)), np.int64)
-    places = np.split(back, np.cumsum([len(p[0]) for p in parts])[:-1])
+    places = [np.cumsum(p[0], dtype=np.int64) for p in parts]
+    total = np.zeros((6, 1 + max(int(x[-1]) for x in places)), np.int64)
     for p, at in zip(parts, places, strict=True):
         total[slice(0, 4) if len(p) == 5 else slice(4, 6), at] += np.array(p[1:], np.int64)  # a part names a word once
     asked = zip(t["kind"].to_pylist(), t["block"].to_pylist(), t["shard"].to_pylist(), places, strict=True)
@@ -336,24 +225,21 @@ def _add_words(t: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(rows, pa.schema([*_SENT, ("v", pa.int64()), ("n", pa.int64()), ("n_target", pa.int64())]))])
 
 
-def _score_block(v: int, tokens: tuple[int, int], discount: float):
+def _score_block(shards: int, v: int, tokens: tuple[int, int], discount: float):
     def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t["kind"].to_pylist(), t["shard"].to_pylist(), t["body"].to_pylist(), range(len(t)), strict=True), key=lambda r: r[:2])
-        n, words, local = _unpack(next(r[2] for r in rows if r[0] == "doc"))
-        ids = t["ids"].take([next(r[3] for r in rows if r[0] == "doc")]).combine_chunks().flatten()
-        n = n.astype(np.int64)
-        doc, losses = np.repeat(np.arange(len(n)), n), []
-        prev, cur = _steps(local, n)
-        _, a, b, of = _pairs(words, prev, cur)
-        # answers by shard are in the order of the keys
-        joined = lambda kind, k: [np.concatenate(x).astype(float) for x in zip(*[_unpack(r[2]) for r in rows if r[0] == kind], strict=True)] or [np.zeros(0)] * k
-        pair, word = joined("pair", 2), joined("word", 6)
-        for k in (1, 0):
-            context, kinds = word[2 + k][a], word[4 + k][a]
+        at = t["kind"].to_pylist().index("doc")
+        ids = t["ids"].take([at]).combine_chunks().flatten()
+        k = _Block(t.select(["kind", "block", "shard", "body"]).to_pylist(), shards)
+        pair, word = np.empty((2, len(k.a))), np.empty((6, len(k.numbers)))
+        pair[:, k.pair_order] = k.answers("pair", 2)
+        word[:, k.word_order] = k.answers("word", 6)
+        doc, losses = np.repeat(np.arange(len(k.n)), k.n), []
+        for m in (1, 0):
+            context, kinds = word[2 + m][k.a], word[4 + m][k.a]
             left = np.where(context > 0, discount * kinds / np.maximum(context, 1), 1.0)
-            p = left * (word[k][b] + 0.5) / (tokens[k] + 0.5 * v) + np.maximum(pair[k] - discount, 0) / np.maximum(context, 1)
-            losses.append(np.bincount(doc, -np.log(p)[of], len(n)) / np.maximum(n, 1))
-        return pa.table({"doc_id": ids, "n_tokens": n, "target_loss": losses[0], "background_loss": losses[1], "score": losses[1] - losses[0]})
+            p = left * (word[m][k.b] + 0.5) / (tokens[m] + 0.5 * v) + np.maximum(pair[m] - discount, 0) / np.maximum(context, 1)
+            losses.append(np.bincount(doc, -np.log(p)[k.pair_of], len(k.n)) / np.maximum(k.n, 1))
+        return pa.table({"doc_id": ids, "n_tokens": k.n, "target_loss": losses[0], "background_loss": losses[1], "score": losses[1] - losses[0]})
 
     return run
 
@@ -361,24 +247,27 @@ def _score_block(v: int, tokens: tuple[int, int], discount: float):
 def difference(docs: DataFrame, target_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", discount: float = 0.75, block_tokens: int = _BLOCK) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of all rows of docs, with the rows whose id is in target_ids.doc_id as target.
 
-    Null texts count as empty; rows that repeat count each time; a null id is never target. With no target rows, or
-    an empty table, the target model is flat over the vocabulary; without tokens all figures are 0. Other columns are
-    ignored. Words and pairs are told apart by 64-bit hashes.
+    Null texts count as empty; very long texts are read whole; rows that repeat count each time; a null id is never
+    target. With no target rows, or an empty table, the target model is flat over the vocabulary; without tokens all
+    figures are 0. Other columns are ignored. Words and pairs are told apart by 64-bit hashes. Of target_ids only ids
+    are joined, with ids: no text is shuffled.
     """
     spark = docs.sparkSession
     ship(spark)
     shards = shuffle_width(spark)
-    marked = target_ids.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_t")).distinct().hint("merge")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(marked, F.col("doc_id") == F.col("_t"), "left")
-    sent = staged(_blocks(rows.withColumn("target", F.col("_t").isNotNull()), shards, block_tokens), "blocks")
-    plain = "kind string, block string, shard int, body binary"
-    asked = sent.select("kind", "block", "shard", "body")
-    pairs = staged(asked.filter("kind = 'pair'").groupBy("shard").applyInArrow(_add_pairs(shards), plain), "pairs")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sent = staged(_blocks(rows, shards, block_tokens), "blocks")
+    own = sent.filter("kind = 'doc'").select("kind", "block", "shard", "body", "ids")
+    marked = target_ids.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id")).distinct()
+    hit = own.select("block", F.posexplode("ids").alias("pos", "id")).join(marked, "id").groupBy("block").agg(F.collect_list("pos").alias("at"))
+    ids = staged(sent.filter("kind = 'word'").select("kind", "block", "shard", "body").groupBy("shard").applyInArrow(_number(shards), _PLAIN), "numbers")
+    met = own.drop("ids").unionByName(ids).unionByName(hit.withColumn("kind", F.lit("target")), allowMissingColumns=True)
+    asked = staged(met.groupBy("block").applyInArrow(_ask(shards), _PLAIN), "asked")
+    pairs = staged(asked.filter("kind = 'pair'").groupBy("shard").applyInArrow(_add_pairs(shards), _PLAIN), "pairs")
     words = asked.filter("kind = 'word'").unionByName(pairs.filter("kind = 'kinds'"))
-    words = staged(words.groupBy("shard").applyInArrow(_add_words, f"{plain}, v long, n long, n_target long"), "words")
+    words = staged(words.groupBy("shard").applyInArrow(_add_words, f"{_PLAIN}, v long, n long, n_target long"), "words")
     v, n, n_target = (x or 0 for x in words.filter("kind = 'total'").agg(F.sum("v"), F.sum("n"), F.sum("n_target")).first())
-    answers = pairs.filter("kind = 'pair'").unionByName(words.filter("kind = 'word'").select("kind", "block", "shard", "body"))
-    own = sent.filter("kind = 'doc'").unionByName(answers, allowMissingColumns=True)
+    answers = ids.unionByName(pairs.filter("kind = 'pair'")).unionByName(words.filter("kind = 'word'").select("kind", "block", "shard", "body"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double"
-    return own.groupBy("block").applyInArrow(_score_block(v, (n, n_target), discount), schema)
+    return own.unionByName(answers, allowMissingColumns=True).groupBy("block").applyInArrow(_score_block(shards, v, (n, n_target), discount), schema)
