@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import staged
+from textloom.llm.common import one_of_each, staged
 
 #: A chunk ends after one of these letters, a sentence end and a space.
 CUT = r"(?<=[a-hà-ï][.!?।。] )"
@@ -82,6 +82,12 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text is the first of its kind, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of docs, with all its columns, for each different text: the first that has the smallest id.
+
+    Texts are equal as in ``exact_dedup``; null, empty texts and very long ones are texts like others. A row without an
+    id stays only where no row with its text has one. Of rows that repeat an id with one text any one stays; rows that
+    repeat an id with different texts are different rows. An empty table gives an empty result.
+    """
+    name = lambda key, sha: F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), sha)
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").groupBy(name("doc_id", F.col("text_sha256")).alias("key")).count()
+    return one_of_each(docs, name(id_col, F.sha2(normalised(F.col(text_col)), 256)), kept)

@@ -26,10 +26,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ship, shuffle_width, staged
+from textloom.llm.common import one_of_each, ship, shuffle_width, staged
 from textloom.llm.components import components
 
 _U = np.uint64
@@ -119,7 +120,7 @@ def _sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, _ROW_SETS):
                 part = batch.slice(at, _ROW_SETS)
-                sizes, digests, flat, cuts, given = [], [], [], [0], []
+                sizes, digests, flat, cuts = [], [], [], [0]
                 for known, text in zip(part.column(0).is_valid().to_pylist(), part.column(1).to_pylist(), strict=True):
                     s = shingle(text)
                     digest = (len(s), int(mixed(s + _WEIGHTS[0]).sum(dtype=_U)), int(mixed(s + _WEIGHTS[1]).sum(dtype=_U)))
@@ -132,7 +133,6 @@ def _sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                         cuts.append(cuts[-1] + len(flat[-1]))
                     else:
                         cuts.append(cuts[-1])
-                    given.append(new)
                     sizes.append(len(s))
                     digests.append(digest[1:])
                 keys = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
@@ -143,6 +143,42 @@ def _sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
 
 
+def _cells(points: DataFrame) -> DataFrame:
+    """(p, doc_id): each document with the least one of every cell that both are in, but for itself.
+
+    Rows of points (doc_id, keys) are sorted by cell and document over all tasks, so a cell of any size spreads over
+    as many as it fills. A task knows the least document of each cell but its first, which may have begun in a task
+    before it; those it marks, and the least is looked up among the tasks' last cells, one row for each task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "head", "last", "p", "doc_id"]
+        part, first, key, least = TaskContext.get().partitionId(), None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, ids = (np.asarray(batch.column(i)) for i in (0, 1))
+            begins = np.concatenate((keys[:1] != key if key is not None else [True], keys[1:] != keys[:-1]))
+            at = np.maximum.accumulate(np.where(begins, np.arange(len(keys)), -1))
+            p = np.where(at < 0, 0 if least is None else least, ids[at])
+            first = int(keys[0]) if first is None else first
+            key, least = int(keys[-1]), int(p[-1])
+            head = keys == first
+            use = head | (p != ids)
+            n = int(use.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part), pa.int32()), pa.array(np.where(head[use], first, 0), mask=~head[use]), pa.nulls(n, pa.int64()), pa.array(p[use]), pa.array(ids[use])], names)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first]), pa.array([key]), pa.array([least]), pa.nulls(1, pa.int64())], names)
+
+    rows = points.select(F.explode("keys").alias("key"), "doc_id")
+    rows = rows.repartitionByRange(shuffle_width(points.sparkSession), "key", "doc_id").sortWithinPartitions("key", "doc_id")
+    got = staged(rows.mapInArrow(run, "part int, head long, last long, p long, doc_id long"), "cells")
+    ends = got.filter("last IS NOT NULL")
+    begun = ends.groupBy("last").agg(F.min("p").alias("least")).join(ends.select("part", "head"), F.col("last") == F.col("head")).select("part", "least")
+    met = got.filter("last IS NULL").join(F.broadcast(begun), "part", "left")  # one row for each task
+    return met.select(F.when(F.col("head").isNull(), F.col("p")).otherwise(F.least("least", "p")).alias("p"), "doc_id").filter("p <> doc_id").distinct()
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     """docs (doc_id, text, regions): a row for each of a document's regions with its set (sorted hashes as bytes)."""
 
@@ -281,10 +317,8 @@ def jaccard_classes(
     points = sketch.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = staged(points.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     same = ["d1", "d2", "n_shingles"]
-    cell = points.select("doc_id", F.explode("keys").alias("key"))
-    cell = cell.withColumn("p", F.min("doc_id").over(Window.partitionBy("key"))).filter("p <> doc_id").select("p", "doc_id").distinct()
     reps = points.join(classes, same).select("doc_id", "rep", "n_shingles").distinct()
-    met = staged(cell, "cells")
+    met = staged(_cells(points), "met")
     pairs = (
         met.join(reps.select("doc_id", F.col("rep").alias("x"), F.col("n_shingles").alias("n")), "doc_id")
         .join(reps.select(F.col("doc_id").alias("p"), F.col("rep").alias("q"), F.col("n_shingles").alias("m")), "p")
@@ -315,6 +349,15 @@ def jaccard_classes(
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is the least of its component; rows without an id stay."""
-    least = jaccard_classes(docs, id_col=id_col, text_col=text_col, **options).filter("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(least, F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of docs, with all its columns, for each component of rows whose texts link: that with the smallest id.
+
+    A row is known by its id and text. Rows without an id take part and come after all others. Null, empty and blank
+    texts link with nothing, so such rows stay, one for each id and text; of rows that repeat an id and a text one
+    stays. An empty table gives an empty result. Rows are told apart by 64-bit hashes.
+    """
+    key = F.xxhash64(id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("key"))
+    of = jaccard_classes(rows, id_col="key", **options).groupBy(F.col("doc_id").alias("key")).agg(F.first("component_id").alias("component"))
+    known = rows.groupBy("key").agg(F.first("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")).alias("least")
+    return one_of_each(docs, key, of.join(known, "key").groupBy("component").agg(least).select("least.key", "least.n"))
