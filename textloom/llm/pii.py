@@ -13,13 +13,14 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ship
+from textloom.llm.common import per_text, ship
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -89,34 +90,57 @@ _WORD = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 _SPOKEN = re.compile(rf"(?i)(?<!\w)(?:{_WORD}|[0-9]++)(?:[\x20,-]{{1,2}}(?:{_WORD}|[0-9]++|dot|point|punkt|punto)(?!\w)){{3,}}")
 _SPOKEN_ITEM = re.compile(rf"(?i){_WORD}|[0-9]++|dot|point|punkt|punto")
 _PLUS = re.compile(r"(?i)(?<!\w)plus[\x20]{1,2}(?=[0-9])")
-_BRACKET_AT = re.compile(r"(?i)[\x20]?[\[({<][\x20]?(?:at|@)[\x20]?[\])}>][\x20]?")
-_BRACKET_DOT = re.compile(r"(?i)[\x20]?[\[({<][\x20]?(?:dot|\.)[\x20]?[\])}>][\x20]?")
-# a host before any last label, but for a determiner ("look at the dot on it") only before a label that ends addresses
+# --- fixed values: at and dot as English, German, Spanish and French say them
+_AT, _DOT = r"(?:at|ät|arroba|arobase)", r"(?:dot|punkt|punto|point)"
+# ---
+_BRACKET_AT = re.compile(rf"(?i)[\x20]?[\[({{<][\x20]?(?:{_AT}|@)[\x20]?[\])}}>][\x20]?")
+_BRACKET_DOT = re.compile(rf"(?i)[\x20]?[\[({{<][\x20]?(?:{_DOT}|\.)[\x20]?[\])}}>][\x20]?")
+# bare, at and dot must be of one language, as "at that point in" is none. A host may stand before any last label, but
+# for a determiner ("look at the dot on it") only before a label that ends addresses
 _LABEL = r"[a-z0-9-]{1,63}"
-_HOST = rf"{_LABEL}(?:\.{_LABEL}){{0,4}}\x20dot\x20(?:{_LABEL}\x20dot\x20){{0,3}}"
+_ENDS = r"(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|us|example)(?!\w)"
 _DETERMINER = r"(?:an?|the|this|that|these|those|each|every|any|some|no|one|my|your|his|her|its|our|their)\x20dot\x20"
-_BARE_AT = re.compile(rf"(?i)(?<=[a-z0-9])\x20at\x20(?={_HOST}(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|us|example)(?!\w)|(?!{_DETERMINER}){_HOST}[a-z]{{2,63}}(?!\w))")
-_BARE_DOT = re.compile(r"(?i)(?<=[a-z0-9])\x20dot\x20(?=[a-z0-9])")
+
+
+def _bare_at(at: str, dot: str) -> str:
+    host = rf"{_LABEL}(?:\.{_LABEL}){{0,4}}\x20{dot}\x20(?:{_LABEL}\x20{dot}\x20){{0,3}}"
+    return rf"\x20{at}\x20(?={host}{_ENDS}|(?!{_DETERMINER}){host}[a-z]{{2,63}}(?!\w))"
+
+
+_BARE_AT = re.compile(rf"(?i)(?<=[a-z0-9])(?:{_bare_at('at', 'dot')}|{_bare_at('(?:ät|at)', 'punkt')}|{_bare_at('arroba', 'punto')}|{_bare_at('arobase', 'point')})")
+_BRACKETS = re.compile(rf"[\[({{<]\x20?(?:{_AT}|{_DOT}|@|\.)\x20?[\])}}>]")
+_DOTS = ("dot", "punkt", "punto", "point")
+_BARE_DOT = re.compile(rf"(?i)(?<=[a-z0-9])\x20{_DOT}\x20(?=[a-z0-9])")
+_DOT_BEFORE = re.compile(rf"(?i)(?<=[A-Za-z0-9._%+-])\x20{_DOT}\x20\Z")
 
 
 class Copy:
-    """A rewritten text; starts[i], ends[i] is the source span of its character i."""
+    """A rewritten text that knows its source. Each step keeps its edits alone: their places in its result and in what it was given."""
 
     def __init__(self, text: str):
-        self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.steps = text, []
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Put in place of each text[a:b], in order, a string; its characters all stand for the whole of a:b."""
         if not edits:
             return
-        text, starts, ends, at = [], [], [], 0
+        text, at, moved, places = [], 0, 0, []
         for a, b, new in edits:
             text += (self.text[at:a], new)
-            starts += self.starts[at:a] + [self.starts[a]] * len(new)
-            ends += self.ends[at:a] + [self.ends[b - 1]] * len(new)
+            places.append((a + moved, a + moved + len(new), a, b))
+            moved += len(new) - (b - a)
             at = b
         text.append(self.text[at:])
-        self.text, self.starts, self.ends = "".join(text), starts + self.starts[at:], ends + self.ends[at:]
+        self.text = "".join(text)
+        self.steps.append(list(zip(*places, strict=True)))
+
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        """The span of the source that text[a:b] stands for; b > a."""
+        for begins, ends, sources, stops in reversed(self.steps):
+            i, j = bisect_right(begins, a) - 1, bisect_right(begins, b - 1) - 1
+            a = sources[i] if i >= 0 and a < ends[i] else a + (stops[i] - ends[i] if i >= 0 else 0)
+            b = stops[j] if j >= 0 and b <= ends[j] else b + (stops[j] - ends[j] if j >= 0 else 0)
+        return a, b
 
 
 def _fold(c: str) -> str | None:
@@ -149,10 +173,11 @@ def _dots_before(text: str) -> list[tuple[int, int, str]]:
             end = start
             while start > 0 and text[start - 1] in _LOCAL:
                 start -= 1
-            if start == end or start < 6 or text[start - 5 : start].lower() != " dot " or text[start - 6] not in _LOCAL:
+            m = _DOT_BEFORE.search(text, max(0, start - 8), start) if start < end else None
+            if m is None:
                 break
-            start -= 5
-            own.append((start, start + 5, "."))
+            own.append((m.start(), start, "."))
+            start = m.start()
         edits += reversed(own)
         at = text.find("@", at + 1)
     return edits
@@ -161,8 +186,8 @@ def _dots_before(text: str) -> list[tuple[int, int, str]]:
 def normalised(text: str) -> Copy | None:
     """The text without its disguises, or None where it has none."""
     fold, low = _foldable(text), text.lower()
-    bracket = any(f"{a}at" in low or f"{a} at" in low or f"{a}@" in low or f"{a}dot" in low or f"{a}.{b}" in low for a, b in ("[]", "()", "{}", "<>"))
-    dot = " dot " in low
+    bracket = _BRACKETS.search(low) is not None
+    dot = any(f" {w} " in low for w in _DOTS)
     if not (fold or bracket or dot or b"\1\1\1\1" in bytes(map(_SPOKEN_WORDS.__contains__, low.replace("-", " ").replace(",", " ").split()))):
         return None
     copy = Copy(text)
@@ -201,8 +226,10 @@ def all_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     added: list[Span] = []
     taken = {k: sorted((a, b) for kind, a, b in base if kind == k) for k in KINDS}
     for kind, a, b in plain_spans(copy.text):
-        start, end = copy.starts[a], copy.ends[b - 1]
-        if not any(x <= start and end <= y for x, y in taken[kind]):
+        start, end = copy.source(a, b)
+        # plain finds of a kind are apart and in order: only the last that begins by start can hold it
+        at = bisect_right(taken[kind], (start, len(text) + 1)) - 1
+        if at < 0 or end > taken[kind][at][1]:
             added.append((kind, start, end))
     return base, added
 
@@ -225,29 +252,31 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """One row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone (plain finds), base_sha256, spans
     (all finds), base_spans, n_added. Spans are kind:start:end in code points, end exclusive, by kind and start.
 
-    A null text is empty: no spans, the digest of the empty string. Repeated rows each give their row; ids may be
-    null; other columns are ignored. Nothing is shuffled.
+    A null text is empty: no spans, the digest of the empty string. Very long texts are read whole. Repeated rows each
+    give their row; ids may be null; an empty table gives an empty result; other columns are ignored. Nothing is
+    shuffled.
     """
-    ship(docs.sparkSession)
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def make():
+        def found(texts: list[str]) -> list:
             rows = []
-            for text in pdf["text"]:
+            for text in texts:
                 base, added = all_spans(text)
                 plain = written(base)
-                counts = [sum(s[0] == k for s in base) for k in KINDS]
-                rows.append((*counts, hashlib.sha256(plain.encode()).hexdigest(), written(base + added), plain, len(added)))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "base_spans", "n_added"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
+                rows.append((*(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(plain.encode()).hexdigest(), written(base + added), plain, len(added)))
+            return list(zip(*rows, strict=True))
+
+        return found
 
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, base_spans string, n_added long"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(found, schema)
+    return per_text(docs, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, base_spans string, n_added long", make, id_col, text_col)
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs with every find masked in the text; the length column, where there is one, follows. Null texts stay null."""
+    """docs with every find masked in the text; the length column, where there is one, follows.
+
+    Null texts stay null, empty ones empty; rows that repeat, null ids and all other columns stay as they are. Very long
+    texts are read whole. An empty table gives an empty result.
+    """
     ship(docs.sparkSession)
 
     def mask(texts: pd.Series) -> pd.Series:
