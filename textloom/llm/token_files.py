@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import operator
 import os
 import struct
 import zlib
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyarrow import fs as pafs
@@ -38,9 +40,21 @@ _SKIP_TABLE, _SKIP_INDEX, _SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 _CHUNK_CHARS, _CACHE_ENTRIES, _CACHED_CHARS = 1 << 21, 1 << 19, 64
 #: Signs that may follow a word; none begins or continues a contraction.
 _SIGNS = ".,!?;:$%&*#|"
+_UNSIGNED = operator.methodcaller("rstrip", _SIGNS)
 _CODERS: dict[str, WordCoder] = {}
 
 
+class _Either(dict):
+    """A dictionary that asks another for what it lacks."""
+
+    def __init__(self, own: dict, other: dict):
+        super().__init__(own)
+        self.other = other
+
+    def __missing__(self, key):
+        return self.other[key]
+
+
 class WordCoder:
     """The tokenizers library behind a cache of words.
 
@@ -55,7 +69,6 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(model)
-        self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {"": b""}
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -79,23 +92,19 @@ class WordCoder:
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of unknown words."""
-        cut: dict[str, tuple[str, str]] = {}
-        letters, others = set(), set()
-        for word in new:
-            core = word.rstrip(_SIGNS)
-            if core.isalpha() and core.lower().isalpha():
-                tail = word[len(core) :]
-                core = core.lower() if core.isascii() else core
-                cut[word] = core, tail
-                letters.add(core)
-                others.add(tail)
-            else:
-                others.add(word)
+        cores = list(map(_UNSIGNED, new))
+        low = list(map(str.lower, cores))
+        letters = list(map(str.isalpha, low))
+        # what isn't ASCII is left for the library to lower
+        keys = [(x if x.isascii() else c) if y else w for x, c, y, w in zip(low, cores, letters, new, strict=True)]
+        tails = [w[len(c) :] if y else "" for w, c, y in zip(new, cores, letters, strict=True)]
         known = self.cache
-        letters, others = [w for w in letters if w not in known], [w for w in others if w not in known]
-        got = dict(zip(letters, self._together(letters), strict=True)) | dict(zip(others, self._apart(others), strict=True))
-        find = lambda w: got[w] if w in got else known[w]
-        return got | {word: find(core) + find(tail) for word, (core, tail) in cut.items()}
+        together = list(set(itertools.compress(keys, letters)).difference(known))
+        apart = list(set(itertools.compress(keys, map(operator.not_, letters))).union(tails).difference(known))
+        got = dict(zip(together, self._together(together), strict=True)) | dict(zip(apart, self._apart(apart), strict=True))
+        find = _Either(got, known).__getitem__
+        out = dict(zip(new, map(bytes.__add__, map(find, keys), map(find, tails)), strict=True))
+        return got | out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
@@ -109,8 +118,12 @@ class WordCoder:
                 self.cache = {"": b""}
             new = list(set(itertools.chain.from_iterable(split)).difference(self.cache))
             known, once = self.cache, {}
-            for word, ids in self._learn(new).items():
-                (known if len(word) <= _CACHED_CHARS else once)[word] = ids
+            learnt = self._learn(new)
+            if max(map(len, learnt), default=0) <= _CACHED_CHARS:
+                known |= learnt
+            else:
+                for word, ids in learnt.items():
+                    (known if len(word) <= _CACHED_CHARS else once)[word] = ids
             look = (lambda w: known[w] if w in known else once[w]) if once else known.__getitem__
             for words in split:
                 yield b"".join(map(look, words))
@@ -218,16 +231,18 @@ def write_shards(
     """Encode docs, each followed by end_id, into shards under path, and return the manifest: part, path, n_docs,
     n_ids, offset (ids in all shards before).
 
-    A null text is empty (its end id alone). Null ids come first; rows that share an id are ordered by their text's
-    hash, so a repeated id can't overfill a range. An empty table gives no shards. A shard appears under its name
+    A null or empty text has its end id alone; strings of the vocabulary's special tokens in a text become those, as the
+    library does it. Very long texts are written whole, each in one frame. Null ids come first; rows that share an id are
+    ordered by their text's hash, so a repeated id can't overfill a range. Other columns are ignored. An empty table gives
+    no shards. A shard appears under its name
     only when whole, so a task that is lost and run again replaces it with the same bytes.
     """
     spark = docs.sparkSession
     ship(spark)
     model = spark.sparkContext.broadcast(open(model_path, "rb").read())
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batches = (b for b in batches if len(b))
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = (b for b in batches if b.num_rows)
         head = next(batches, None)
         if head is None:
             return
@@ -239,41 +254,53 @@ def write_shards(
         coder = _coder(model.value)
         with store.open_output_stream(draft) as out:
             shard = ShardWriter(out, frame_ids)
-            for pdf in itertools.chain([head], batches):
-                ids = pdf["doc_id"].astype("Int64").tolist()
-                for doc_id, got in zip(ids, coder.encode(["" if t is None else t for t in pdf["text"]]), strict=True):
-                    shard.add(None if doc_id is pd.NA else doc_id, got + end)
+            for batch in itertools.chain([head], batches):
+                for at in range(0, batch.num_rows, 2048):
+                    part = batch.slice(at, 2048)
+                    texts = [t or "" for t in part.column(1).to_pylist()]
+                    for doc_id, got in zip(part.column(0).to_pylist(), coder.encode(texts), strict=True):
+                        shard.add(doc_id, got + end)
             shard.close()
+        if store.get_file_info(final).type != pafs.FileType.NotFound:
+            store.delete_file(final)  # of an attempt that was lost after its shard was whole; not all stores replace files
         store.move(draft, final)
-        yield pd.DataFrame({"part": [task.partitionId()], "path": [f"{path}/{name}"], "n_docs": [len(shard.docs)], "n_ids": [shard.ids]})
+        row = [task.partitionId()], [f"{path}/{name}"], [len(shard.docs)], [shard.ids]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "path", "n_docs", "n_ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(shuffle_width(spark), F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
-    manifest = staged(ordered.mapInPandas(write, "part int, path string, n_docs long, n_ids long"), "manifest")
+    manifest = staged(ordered.mapInArrow(write, "part int, path string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("offset", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
 
 
 def read_shards(manifest: DataFrame, per_document) -> DataFrame:
-    """The documents of a manifest's shards: doc_id, start, n_tokens, and value, per_document of the ids' bytes as a long."""
+    """The documents of a manifest's shards: doc_id, start, n_tokens, and value, per_document of the ids' bytes as a long.
+
+    Each row that was written gives one, those with null or repeated ids too; an empty manifest gives none. A shard's
+    documents leave as they are read, so long ones or many don't add up.
+    """
     ship(manifest.sparkSession)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, offset in zip(pdf["path"], pdf["offset"], strict=True):
-                rows = [(doc_id, int(offset) + at, len(ids) // 4, per_document(ids)) for doc_id, ids, at in ShardReader(_Source(path)).documents()]
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "value"])
-                yield out.astype({"doc_id": "Int64"})
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "start", "n_tokens", "value"]
+        for batch in batches:
+            for path, offset in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = ((doc_id, offset + at, len(ids) // 4, per_document(ids)) for doc_id, ids, at in ShardReader(_Source(path)).documents())
+                while part := list(itertools.islice(rows, 8192)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*part, strict=True)], names)
 
-    spread = manifest.select("part", "path", "offset").repartition(shuffle_width(manifest.sparkSession), "part")
-    return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, value long")
+    spread = manifest.select("part", "path", "offset").repartition(shuffle_width(manifest.sparkSession), "part").select("path", "offset")
+    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, value long")
 
 
 def fetch(spark: SparkSession, manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     """The ids (array of long) of the documents in wanted.doc_id; of each shard only their frames are read.
 
-    wanted is dealt to shards by the ranges of ids that the shards hold, so it may be large.
+    wanted is joined to the shards' indexes, so it may be large; ids in it that repeat count once, null or unknown ones
+    not at all. An id that several rows were written with gives each of them. Nothing wanted, or an empty manifest, gives
+    no rows.
     """
     ship(spark)
 
