@@ -15,11 +15,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ship, shuffle_width
+from textloom.llm.common import ship, shuffle_width, staged
+from textloom.llm.token_files import _coder
 
 #: Permitted sequence lengths.
 SIZES = (512, 1024, 2048, 4096, 8192)
@@ -92,63 +94,93 @@ def best_packing(lengths: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarra
     return best[0], best[1]
 
 
-def best_fit(docs: DataFrame, *, sizes: tuple[int, ...] = SIZES, shard_tokens: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text", lengths: DataFrame | None = None) -> DataFrame:
+def _pieces_of_ids(docs: DataFrame, model_path: str, end_id: int, top: int) -> DataFrame:
+    """doc_id, piece, start, n_tokens and ids (little-endian unsigned 32-bit) of each piece of up to top tokens of docs (doc_id, text)."""
+    ship(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(open(model_path, "rb").read())
+    end = np.array([end_id], "<u4").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(model.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                raw = [x + end for x in coder.encode([t or "" for t in part.column(1).to_pylist()])]
+                cuts = [(i, k, x[a : a + 4 * top]) for i, x in enumerate(raw) for k, a in enumerate(range(0, len(x), 4 * top))]
+                row, piece, ids = zip(*cuts, strict=True)
+                piece = np.array(piece, np.int64)
+                out = part.column(0).take(pa.array(row)), pa.array(piece), pa.array(piece * top), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())
+                yield pa.RecordBatch.from_arrays(list(out), ["doc_id", "piece", "start", "n_tokens", "ids"])
+
+    return docs.mapInArrow(run, "doc_id long, piece long, start long, n_tokens long, ids binary")
+
+
+def best_fit(
+    docs: DataFrame, *, sizes: tuple[int, ...] = SIZES, shard_tokens: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text",
+    lengths: DataFrame | None = None, model_path: str | None = None, end_id: int = 2,
+) -> DataFrame:
     """One row for each piece of a document: bin_id, capacity, bin_tokens, position, doc_id, piece, start, n_tokens.
 
+    Tokens are a text's words and an end mark; with model_path, a vocabulary of the tokenizers library, they are its ids
+    and end_id, and each row has its piece's ids beside (binary, little-endian unsigned 32-bit). lengths (doc_id,
+    n_tokens) stands in for the texts where token counts are known.
+
     A document of up to the largest size is one piece; a longer one is cut into pieces of that size and a rest, so
     no token is lost (start is the piece's first token in its document). A bin_id names a bin in all shards; its
     pieces lie in order of position; capacity is the smallest permitted size that holds bin_tokens. A null or empty
     text has one token, its end. Rows that repeat an id are packed each on its own; null ids are packed too. An
-    empty table gives no bins. lengths (doc_id, n_tokens) stands in for the texts where token counts are known.
+    empty table gives no bins. Other columns are ignored.
     """
     sizes = tuple(sorted(sizes))
     ship(docs.sparkSession)
     top = sizes[-1]
-    have = lengths if lengths is not None else docs.select(F.col(id_col).cast("long").alias("doc_id"), token_lengths(F.col(text_col)).alias("n_tokens"))
-    total = have.agg(F.sum("n_tokens")).first()[0] or 0
+    if model_path is not None:
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        # rows are numbered as they lie in the written table, so that repeated ones spread over the shards
+        pieces = staged(_pieces_of_ids(texts, model_path, end_id, top), "pieces").withColumn("copy", F.monotonically_increasing_id())
+        total = pieces.agg(F.sum("n_tokens")).first()[0] or 0
+    else:
+        have = lengths if lengths is not None else docs.select(F.col(id_col).cast("long").alias("doc_id"), token_lengths(F.col(text_col)).alias("n_tokens"))
+        total = have.agg(F.sum("n_tokens")).first()[0] or 0
+        # repeated rows are counted first and numbered, so that a hot id spreads over the shards too
+        copies = have.groupBy("doc_id", "n_tokens").count().select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy"))
+        pieces = copies.select(
+            "doc_id",
+            "copy",
+            F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_tokens") / top).cast("long") - 1)).alias("piece"),
+            F.col("n_tokens").alias("whole"),
+        ).select("doc_id", "copy", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top).cast("long"), F.col("whole") - F.col("piece") * top).alias("n_tokens"))
     shards = max(1, -(-int(total) // shard_tokens))
-    # repeated rows are counted first and numbered, so that a hot id spreads over the shards too
-    copies = have.groupBy("doc_id", "n_tokens").count().select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy"))
-    pieces = copies.select(
-        "doc_id",
-        "copy",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_tokens") / top).cast("long") - 1)).alias("piece"),
-        F.col("n_tokens").alias("whole"),
-    ).select("doc_id", "copy", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top).cast("long"), F.col("whole") - F.col("piece") * top).alias("n_tokens"))
-    salted = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", "copy", "piece"), F.lit(shards)).cast("int"))
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def done(rows: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            pdf = pd.concat(rows, ignore_index=True)
-            # hashing alone orders equal lengths, so that long documents' rests don't meet by id
-            pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-            where, used = best_packing(pdf["n_tokens"].to_numpy(), sizes)
-            caps = np.array([fitted(int(u), sizes) for u in used], np.int64)
-            yield pd.DataFrame(
-                {
-                    "bin_id": (np.int64(pdf["shard"].iloc[0]) << np.int64(32)) + where,
-                    "capacity": caps[where],
-                    "bin_tokens": used[where],
-                    "position": pd.Series(where).groupby(where).cumcount().to_numpy(),
-                    "doc_id": pdf["doc_id"].to_numpy(),
-                    "piece": pdf["piece"].to_numpy(),
-                    "start": pdf["start"].to_numpy(),
-                    "n_tokens": pdf["n_tokens"].to_numpy(),
-                }
-            ).astype({"doc_id": "Int64"})
-
+    salted = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", "copy", "piece"), F.lit(shards)).cast("int")).drop("copy")
+    own = [c for c in ("doc_id", "piece", "start", "n_tokens", "ids") if c in salted.columns]
+
+    def done(rows: list[pa.RecordBatch]) -> pa.Table:
+        t = pa.Table.from_batches(rows)
+        t = t.take(pc.sort_indices(t, sort_keys=[("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]))
+        where, used = best_packing(np.asarray(t["n_tokens"]), sizes)
+        caps = np.array([fitted(int(u), sizes) for u in used], np.int64)
+        order, position = np.argsort(where, kind="stable"), np.empty(len(where), np.int64)
+        begins = np.searchsorted(where[order], where[order])
+        position[order] = np.arange(len(where)) - begins
+        shard = np.int64(t["shard"][0].as_py()) << np.int64(32)
+        return pa.table([pa.array(shard + where), pa.array(caps[where]), pa.array(used[where]), pa.array(position), *(t[c] for c in own)], names=["bin_id", "capacity", "bin_tokens", "position", *own])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
-        for pdf in batches:
-            pdf["doc_id"] = pdf["doc_id"].astype("Int64")
-            for shard, part in pdf.groupby("shard", sort=False):
-                if shard != key and rows:
-                    yield from done(rows)
-                    rows = []
-                key = shard
-                rows.append(part)
+        for batch in batches:
+            shard, at = np.asarray(batch.column(0)), 0
+            for stop in [*(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]:
+                if at < stop:
+                    if rows and shard[at] != key:
+                        yield from done(rows).combine_chunks().to_batches()
+                        rows = []
+                    key = shard[at]
+                    rows.append(batch.slice(at, stop - at))
+                at = stop
         if rows:
-            yield from done(rows)
+            yield from done(rows).combine_chunks().to_batches()
 
     width = min(shards, max(shuffle_width(docs.sparkSession), 1))
-    placed = salted.repartition(width, "shard").sortWithinPartitions("shard")
-    return placed.mapInPandas(pack, "bin_id long, capacity long, bin_tokens long, position long, doc_id long, piece long, start long, n_tokens long")
+    placed = salted.repartition(width, "shard").sortWithinPartitions("shard").select("shard", *own)
+    schema = "bin_id long, capacity long, bin_tokens long, position long, doc_id long, piece long, start long, n_tokens long"
+    return placed.mapInArrow(pack, schema + ", ids binary" * ("ids" in own))
