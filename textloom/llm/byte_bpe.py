@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ship
+from textloom.llm.common import per_text, ship
 
 LETTER, NUMBER, SPACE, OTHER, EDGE = range(5)
 _EDGE_CP = sys.maxunicode + 1
@@ -199,20 +199,22 @@ def _coder(data: bytes) -> ByteBPE:
 def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens.
 
-    A null text is empty and has no ids. Rows may repeat; other columns are ignored. The rank file is read on the
-    driver and broadcast (its size is the file's, under a megabyte here); nothing is shuffled.
+    A null text is empty and has no ids; very long texts are read whole. Rows may repeat and ids may be null; an empty
+    table gives an empty result; other columns are ignored. The rank file is read on the driver and broadcast (its size
+    is the file's, under a megabyte here); nothing is shuffled.
     """
-    ship(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(open(ranks_path, "rb").read())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         coder = _coder(data.value)
-        for pdf in batches:
-            ids = list(coder.encode(["" if t is None else t for t in pdf["text"]]))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "ids": ids, "n_tokens": [len(x) // 4 for x in ids]})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, ids binary, n_tokens long")
+        def run(texts: list[str]) -> list:
+            ids = list(coder.encode(texts))
+            return [ids, [len(x) // 4 for x in ids]]
+
+        return run
+
+    return per_text(docs, "ids binary, n_tokens long", make, id_col, text_col)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -232,19 +234,15 @@ def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
 
     Rows as in ``encode``. Encoding and decoding share one worker, and only digests leave it.
     """
-    ship(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(open(ranks_path, "rb").read())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         coder = _coder(data.value)
-        for pdf in batches:
-            rows = []
-            for ids in coder.encode(["" if t is None else t for t in pdf["text"]]):
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+
+        def run(texts: list[str]) -> list:
+            rows = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()) for ids in coder.encode(texts)]
+            return list(zip(*rows, strict=True))
+
+        return run
+
+    return per_text(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", make, id_col, text_col, rows=2048)

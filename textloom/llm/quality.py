@@ -12,11 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ship, staged
+from textloom.llm.common import per_text, ship, staged
 from textloom.llm.toxicity import _logistic, bucket
 
 FEATURES = ("log_words", "upper", "symbols", "bars", "bangs", "digits", "word_length", "distinct_words", "repeated_lines", "lines", "stops", "commas", "short_words", "other_bytes", "capitals", "longest_word", "common_word")
@@ -102,43 +102,40 @@ def fit(x: np.ndarray, y: np.ndarray, *, pairs_each: int = 12, seed: int = 7) ->
 
 def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and features (array of double) for each row of docs; a null text counts as empty."""
-    ship(docs.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "features": [features(t) for t in pdf["text"]]})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, features array<double>")
+    return per_text(docs, "features array<double>", lambda: lambda texts: [[features(t) for t in texts]], id_col, text_col)
 
 
 def scored(rows: DataFrame, model: BradleyTerry) -> DataFrame:
     """rows (doc_id, features) with latent and score in place of features."""
+    ship(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array(pdf["features"].tolist(), float).reshape(len(pdf), len(FEATURES))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "latent": shared.value.latent(x), "score": shared.value.probability(x)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.latent(x)), pa.array(shared.value.probability(x))], ["doc_id", "latent", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, latent double, score double")
+    return rows.mapInArrow(run, f"doc_id {kind}, latent double, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, per_class: tuple[int, int] = (8000, 12000), threshold: float = 0.3, quantile: float = 0.15) -> DataFrame:
     """doc_id, held_out, score, predicted and kept for each row of docs.
 
-    Learns labels.quality from rows whose crc32(doc_id) mod 5 is not 0, at most per_class = (label 0, label 1) of
-    them, those with the least hash of their id. score is the chance of label 1; kept is false for documents under
-    the given quantile of the latent score of all rows. Null and empty texts have features of 0 and a score like
-    any other; without labels of both kinds all rows score alike and are kept.
+    Learns labels.quality from rows whose crc32(doc_id) mod 5 is not 0, at most per_class = (label 0, label 1)
+    documents, those with the least hash of their id; an id that repeats gives one. score is the chance of label 1;
+    kept is false for documents under the given quantile of the latent score of all rows, ties staying. Null and empty
+    texts have features of 0 and a score like any other, very long texts are read whole, and rows that repeat each give
+    their row; a null id has held_out null. Without labels of both kinds all rows score alike, the share of label 1, and
+    are kept. An empty table gives an empty result. Other columns of docs are ignored.
     """
     rows = staged(featured(docs), "quality_features")
     usable = labels.filter((bucket(F.col("doc_id"), 5) != 0) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     usable = usable.groupBy(F.col("doc_id").alias("_l")).agg(F.max("quality").cast("int").alias("_y"))
     picked = [usable.filter(F.col("_y") == y).orderBy(F.xxhash64("_l"), "_l").limit(n) for y, n in enumerate(per_class)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most sum(per_class) ids
-    got = sorted((r[0], r[1], r[2]) for r in rows.join(sample, F.col("doc_id") == F.col("_l")).select("_l", "features", "_y").collect())
+    known = rows.join(sample, F.col("doc_id") == F.col("_l")).groupBy("_l").agg(F.min("features"), F.first("_y"))
+    got = sorted((r[0], r[1], r[2]) for r in known.collect())
     model = fit(np.array([r[1] for r in got], float).reshape(len(got), len(FEATURES)), np.array([r[2] for r in got], int))
     out = scored(rows, model)
     cut = out.agg(F.percentile_approx("latent", F.lit(quantile))).first()[0]

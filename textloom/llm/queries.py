@@ -11,7 +11,7 @@ from textloom.llm.common import table
 from textloom.llm.exact_dedup import exact_dedup
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -30,7 +30,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_zstd_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.stored_ids(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return token_files.stored_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op5_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +54,12 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def spotsigs_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 OP3_SQL = r"""
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_spotsigs": op9_spotsigs,
         "op10_byte_bpe": op10_byte_bpe,
+        "spotsigs_near_copies": spotsigs_near_copies,
     }
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm.common import shuffle_width, staged
+from textloom.llm.components import components
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -108,29 +109,55 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def near_fingerprints(prints: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of fingerprints (doc_id, signature) that are alike by at least threshold.
 
-    members gives each document the least doc_id with an equal fingerprint (rep); pairs gives (a, b, likeness) of
-    different fingerprints between such representatives. Documents with an empty fingerprint are alike only among
-    themselves. Every pair is found: none is capped.
+    members (doc_id, rep, print, n_signatures) gives each document the number of its fingerprint and the least doc_id
+    with an equal one; pairs (a, b, likeness, print_a, print_b) those of different fingerprints, a and b being such least ids.
+    Documents with an empty fingerprint are alike only among themselves. Every pair is found: none is capped. Rows
+    without an id are left out; rows that repeat an id are members of each fingerprint that it has. Empty tables give
+    empty results.
     """
     known = prints.filter("doc_id IS NOT NULL").select("doc_id", F.sort_array("signature").alias("signature"))
-    groups = staged(known.groupBy("signature").agg(F.min("doc_id").alias("rep")), "spot_groups")
-    members = known.alias("k").join(groups.alias("g"), F.col("k.signature") == F.col("g.signature")).select("doc_id", "rep")
-    sets = groups.filter(F.size("signature") > 0).select(F.col("rep").alias("id"), "signature", F.size("signature").alias("n"))
-    items = sets.select("id", "n", F.explode("signature").alias("s"))
+    groups = staged(known.groupBy("signature").agg(F.min("doc_id").alias("rep")).withColumn("print", F.monotonically_increasing_id()), "spot_groups")
+    members = known.alias("k").join(groups.alias("g"), F.col("k.signature") == F.col("g.signature")).select("doc_id", "rep", "print", F.size("g.signature").cast("long").alias("n_signatures"))
+    sets = groups.filter(F.size("signature") > 0).select("rep", "print", "signature", F.size("signature").alias("n"))
+    items = sets.select("print", "n", F.explode("signature").alias("s"))
     rarity = items.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    ranked = items.join(rarity, "s").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "s")))
+    ranked = items.join(rarity, "s").withColumn("at", F.row_number().over(Window.partitionBy("print").orderBy("df", "s")))
     # two sets alike by t share one of the first n - ceil(t n) + 1 signatures of either, in any order common to all
     prefix = ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1)
     step = -math.log(threshold)
     band = prefix.withColumn("band", F.floor(F.log("n") / step + 1e-9))
-    left = band.select("s", "band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    right = band.select("s", F.explode(F.array("band", F.col("band") + 1, F.col("band") - 1)).alias("band"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    left = band.select("s", "band", F.col("print").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    right = band.select("s", F.explode(F.array("band", F.col("band") + 1, F.col("band") - 1)).alias("band"), F.col("print").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
     met = left.join(right, ["s", "band"]).filter("a < b")
     met = met.filter(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
     # past this signature the sets share at most the shorter rest
     rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
     met = met.filter(rest >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b").distinct()
-    one = sets.select(F.col("id").alias("a"), F.col("signature").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("signature").alias("y"))
-    pairs = met.join(one, "a").join(two, "b").select("a", "b", likeness(F.col("x"), F.col("y")).alias("likeness"))
-    return members, pairs.filter(F.col("likeness") >= threshold - 1e-9)
+    one = sets.select(F.col("print").alias("a"), F.col("rep").alias("rep_a"), F.col("signature").alias("x"))
+    two = sets.select(F.col("print").alias("b"), F.col("rep").alias("rep_b"), F.col("signature").alias("y"))
+    found = met.join(one, "a").join(two, "b").withColumn("likeness", likeness(F.col("x"), F.col("y"))).filter(F.col("likeness") >= threshold - 1e-9)
+    swapped = F.col("rep_a") > F.col("rep_b")
+    pick = lambda x, y: F.when(swapped, F.col(y)).otherwise(F.col(x))
+    return members, found.select(pick("rep_a", "rep_b").alias("a"), pick("rep_b", "rep_a").alias("b"), "likeness", pick("a", "b").alias("print_a"), pick("b", "a").alias("print_b"))
+
+
+def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_signatures, n_links and component_id for each row of docs that has an id.
+
+    Documents link whose fingerprints are alike by at least threshold, equal ones too; n_links counts the other
+    documents' rows that one links with, component_id is the smallest doc_id reachable. Documents without signatures
+    (null, empty or blank texts) link with nothing. Rows that repeat an id with other texts are rows of their own that
+    share no link. Very long texts are read whole; other columns are ignored; an empty table gives an empty result.
+    """
+    prints = staged(fingerprints(docs, id_col, text_col), "fingerprints")
+    members, pairs = near_fingerprints(prints.filter(F.size("signature") > 0), threshold)
+    members, pairs = staged(members, "members"), staged(pairs, "pairs")
+    size = members.groupBy("print").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"))
+    ends = F.array(F.struct(F.col("print_a").alias("print"), F.col("print_b").alias("other")), F.struct(F.col("print_b").alias("print"), F.col("print_a").alias("other")))
+    beside = pairs.select(F.explode(ends).alias("e")).select("e.*").join(size.select(F.col("print").alias("other"), F.col("rows").alias("others")), "other").groupBy("print").agg(F.sum("others").alias("others"))
+    found = components(pairs.select(F.col("print_a").alias("a"), F.col("print_b").alias("b"))).withColumnRenamed("node", "print")
+    known = size.join(beside, "print", "left").join(found, "print", "left").withColumn("component", F.coalesce("component", "print"))
+    first = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(first, "component").select("print", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    alone = prints.filter("doc_id IS NOT NULL AND size(signature) = 0").select("doc_id", F.lit(0).cast("long").alias("n_signatures"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
+    return members.join(known, "print").select("doc_id", "n_signatures", "n_links", "component_id").unionByName(alone)
