@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import exact_dedup, jaccard_join, packing, pii, toxicity
 from textloom.llm.common import staged, table
+from textloom.llm.queries import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +27,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit(docs)
+    """Token ids of the texts that are left, in bins of permitted lengths."""
+    return packing.best_fit(docs, model_path=vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [
