@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import ship, shuffle_width, staged
 from textloom.llm.jaccard_join import mixed
 
-_BLOCK, _U = 1 << 21, np.uint64
+_BLOCK, _U = 1 << 20, np.uint64
 _SENT = pa.schema([("kind", pa.string()), ("block", pa.string()), ("shard", pa.int32()), ("body", pa.binary())])
 _PLAIN = "kind string, block string, shard int, body binary"
 
