@@ -19,11 +19,11 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import per_text, ship
+from textloom.llm.common import held, per_text, ship
 
 LETTER, NUMBER, SPACE, OTHER, EDGE = range(5)
 _EDGE_CP = sys.maxunicode + 1
@@ -189,11 +189,8 @@ class ByteBPE:
 
 
 def _coder(data: bytes) -> ByteBPE:
-    """One coder for each table of ranks and worker process."""
-    key = hashlib.sha256(data).hexdigest()
-    if key not in _TABLES:
-        _TABLES[key] = ByteBPE.from_file(data)
-    return _TABLES[key]
+    """One coder for a table of ranks and worker process."""
+    return held("byte_bpe", hashlib.sha256(data).hexdigest(), lambda: ByteBPE.from_file(data))
 
 
 def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,11 +219,11 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     ship(encoded.sparkSession)
     data = encoded.sparkSession.sparkContext.broadcast(open(ranks_path, "rb").read())
 
-    def back(ids: pd.Series) -> pd.Series:
+    def back(ids: pa.Array) -> pa.Array:
         coder = _coder(data.value)
-        return ids.map(coder.decode)
+        return pa.array([None if x is None else coder.decode(x) for x in ids.to_pylist()], pa.binary())
 
-    return encoded.withColumn("decoded", F.pandas_udf(back, "binary")("ids"))
+    return encoded.withColumn("decoded", F.arrow_udf(back, "binary")("ids"))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 _SHIPPED: dict[str, str] = {}
+_HELD: dict[str, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(kind: str, key: object, make: Callable[[], object]) -> object:
+    """make's object, kept for the tasks that a worker process runs next. One at a time: another kind or key lets go of
+    it, so that workers that serve one stage after another don't gather all their caches."""
+    if _HELD.get("of") != (kind, key):
+        _HELD.clear()
+        _HELD.update(of=(kind, key), value=make())
+    return _HELD["value"]
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's sources to the executors, once for each Spark application."""
     sc = spark.sparkContext

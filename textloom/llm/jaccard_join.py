@@ -23,7 +23,6 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -238,29 +237,27 @@ class Region:
             p, here = far[0], np.concatenate((far, window))
 
 
-def _frame(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(map(list, zip(*pairs, strict=True))) or ([], [])))
-    return pd.DataFrame({"a": a, "b": b})
-
-
 def _joined(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Links of each region in rows (region string, pivot boolean, doc_id, set); a region's rows stream by, the pivot's first."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def links(ids: list[int], raw: list[bytes]) -> Iterator[pa.RecordBatch]:
+        found = list(Region(ids, raw, num, den).links()) if len(ids) > 1 else []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, raw = None, [], []
-        for pdf in batches:
-            for region, doc_id, x in zip(pdf["region"], pdf["doc_id"], pdf["set"], strict=True):
+        for batch in batches:
+            for region, doc_id, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if region != key:
-                    if len(ids) > 1:
-                        yield _frame(list(Region(ids, raw, num, den).links()))
+                    yield from links(ids, raw)
                     key, ids, raw = region, [], []
                 ids.append(doc_id)
                 raw.append(x)
-        if len(ids) > 1:
-            yield _frame(list(Region(ids, raw, num, den).links()))
+        yield from links(ids, raw)
 
     placed = rows.repartition(shuffle_width(rows.sparkSession), "region").sortWithinPartitions("region", F.desc("pivot"), "doc_id")
-    return placed.select("region", "doc_id", "set").mapInPandas(run, "a long, b long")
+    return placed.select("region", "doc_id", "set").mapInArrow(run, "a long, b long")
 
 
 def _large(pairs: DataFrame, sets: DataFrame, num: int, den: int, limit: int, block: int) -> DataFrame:
@@ -269,10 +266,11 @@ def _large(pairs: DataFrame, sets: DataFrame, num: int, den: int, limit: int, bl
     own = sets.withColumnRenamed("doc_id", "x")
     pivot = sets.select(F.col("doc_id").alias("p"), F.col("set").alias("pivot_set"))
 
-    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(np.frombuffer(x, _U), np.frombuffer(y, _U), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
+    def shared(a: pa.Array, b: pa.Array) -> pa.Array:
+        sets = (np.frombuffer(x, _U) for x in a.to_pylist()), (np.frombuffer(x, _U) for x in b.to_pylist())
+        return pa.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)], pa.int64())
 
-    inter = F.pandas_udf(shared, "long")
+    inter = F.arrow_udf(shared, "long")
     size = lambda c: F.octet_length(c) / 8
     met = pairs.filter("p <> x").join(own, "x").join(pivot, "p").select("p", "x", size("set").cast("long").alias("n"), size("pivot_set").cast("long").alias("m"), inter("set", "pivot_set").alias("i"))
     met = staged(met.withColumn("near", F.expr(f"{den} * i >= {num} * (n + m - i)")).withColumn("d", F.expr("1D - i / (n + m - i)")), "pivot_distances")

@@ -16,7 +16,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -278,18 +278,22 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
     texts are read whole. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
-
-    def mask(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
-            if text is None:
-                return None
-            base, added = all_spans(text)
-            return masked(text, base + added) if base or added else text
-
-        return texts.map(one, na_action=None)
-
-    udf = F.pandas_udf(mask, "string")
-    out = docs.withColumn(text_col, udf(F.col(text_col)))
+    at_text = docs.columns.index(text_col)
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        base, added = all_spans(text)
+        return masked(text, base + added) if base or added else text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                column = part.column(at_text)
+                yield part.set_column(at_text, part.schema.field(at_text), pa.array(map(one, column.to_pylist()), column.type))
+
+    out = docs.mapInArrow(run, docs.schema)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return out

@@ -24,7 +24,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -33,15 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ship, shuffle_width, staged, work_path
+from textloom.llm.common import held, ship, shuffle_width, staged, work_path
 
 #: Fixed values of the public formats.
 _SKIP_TABLE, _SKIP_INDEX, _SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
-_CHUNK_CHARS, _CACHE_ENTRIES, _CACHED_CHARS = 1 << 21, 1 << 19, 64
+_CHUNK_CHARS, _CACHE_ENTRIES, _CACHED_CHARS = 1 << 20, 1 << 19, 64
 #: Signs that may follow a word; none begins or continues a contraction.
 _SIGNS = ".,!?;:$%&*#|"
 _UNSIGNED = operator.methodcaller("rstrip", _SIGNS)
-_CODERS: dict[str, WordCoder] = {}
 
 
 class _Either(dict):
@@ -131,10 +129,7 @@ class WordCoder:
 
 
 def _coder(model: bytes) -> WordCoder:
-    key = hashlib.sha256(model).hexdigest()
-    if key not in _CODERS:
-        _CODERS[key] = WordCoder(model)
-    return _CODERS[key]
+    return held("word_bpe", hashlib.sha256(model).hexdigest(), lambda: WordCoder(model))
 
 
 class ShardWriter:
@@ -304,21 +299,21 @@ def fetch(spark: SparkSession, manifest: DataFrame, wanted: DataFrame) -> DataFr
     """
     ship(spark)
 
-    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part, path in zip(pdf["part"], pdf["path"], strict=True):
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
                 shard = ShardReader(_Source(path))
                 ids = shard.doc_ids[shard.valid.astype(bool)]
-                yield pd.DataFrame({"path": path, "doc_id": ids})
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(ids), pa.string()), pa.array(ids)], ["path", "doc_id"])
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = ShardReader(_Source(pdf["path"].iloc[0]))
-        at = np.flatnonzero(np.isin(shard.doc_ids, pdf["doc_id"].to_numpy()) & shard.valid.astype(bool))
-        rows = [(i, np.frombuffer(ids, "<u4").astype(np.int64)) for i, ids, _ in shard.documents(at)]
-        return pd.DataFrame(rows, columns=["doc_id", "ids"])
+    def take(t: pa.Table) -> pa.Table:
+        shard = ShardReader(_Source(t["path"][0].as_py()))
+        at = np.flatnonzero(np.isin(shard.doc_ids, np.asarray(t["doc_id"])) & shard.valid.astype(bool))
+        ids, raw = zip(*((i, np.frombuffer(x, "<u4").astype(np.int64)) for i, x, _ in shard.documents(at)), strict=True)
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(raw, pa.list_(pa.int64()))})
 
-    index = manifest.select("part", "path").mapInPandas(spans, "path string, doc_id long")
-    return index.join(wanted.select("doc_id").distinct(), "doc_id").groupBy("path").applyInPandas(take, "doc_id long, ids array<long>")
+    index = manifest.select("path").mapInArrow(spans, "path string, doc_id long")
+    return index.join(wanted.select("doc_id").distinct(), "doc_id").groupBy("path").applyInArrow(take, "doc_id long, ids array<long>")
 
 
 def stored_ids(docs: DataFrame, model_path: str, end_id: int = 2) -> DataFrame:

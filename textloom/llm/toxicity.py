@@ -22,14 +22,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import per_text, ship, staged
+from textloom.llm.common import held, per_text, ship, staged
 
 _WINDOW, _STEP, _LONGEST, _CACHE_WORDS = 24, 12, 8, 1 << 18
-_READERS: dict[tuple, Reader] = {}
 _ENDS = frozenset(".!?\n")
 _SINGLE = object()
 Sentence = tuple[dict[int, float], int]
@@ -350,12 +349,7 @@ def train(rows: DataFrame, *, landmarks: int = 48, candidate_strings: int = 512,
 
 
 def _reader(marks: Landmarks) -> Reader:
-    """One reader for a set of landmarks and worker process, so that tasks share what it knows of words."""
-    key = (tuple(marks.strings), marks.p, marks.decay)
-    if key not in _READERS:
-        _READERS.clear()
-        _READERS[key] = Reader(marks)
-    return _READERS[key]
+    return held("toxicity", (tuple(marks.strings), marks.p, marks.decay), lambda: Reader(marks))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,12 +393,15 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id
     read whole. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, id_col=id_col, text_col=text_col, **options))
+    at_text = docs.columns.index(text_col)
 
-    def run(texts: pd.Series) -> pd.Series:
-        reader, out = _reader(shared.value.marks), []
-        for at in range(0, len(texts), 256):
-            read = list(reader.sentences(["" if t is None else t for t in texts.iloc[at : at + 256]]))
-            out += [bool(found) and x >= threshold for (found, _), x in zip(read, shared.value.scores(read), strict=True)]
-        return pd.Series(out, dtype="bool")
-
-    return docs.filter(~F.pandas_udf(run, "boolean")(F.col(text_col)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _reader(shared.value.marks)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                read = list(reader.sentences([t or "" for t in part.column(at_text).to_pylist()]))
+                stays = [not found or x < threshold for (found, _), x in zip(read, shared.value.scores(read), strict=True)]
+                yield part.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
