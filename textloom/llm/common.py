@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -48,9 +50,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 def held(kind: str, key: object, make: Callable[[], object]) -> object:
     """make's object, kept for the tasks that a worker process runs next. One at a time: another kind or key lets go of
-    it, so that workers that serve one stage after another don't gather all their caches."""
+    it, so that workers that serve one stage after another don't gather all their caches; what it took goes back to the
+    system."""
     if _HELD.get("of") != (kind, key):
         _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
         _HELD.update(of=(kind, key), value=make())
     return _HELD["value"]
 

@@ -156,6 +156,7 @@ def best_fit(
 
     def done(rows: list[pa.RecordBatch]) -> pa.Table:
         t = pa.Table.from_batches(rows)
+        rows.clear()
         t = t.take(pc.sort_indices(t, sort_keys=[("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]))
         where, used = best_packing(np.asarray(t["n_tokens"]), sizes)
         caps = np.array([fitted(int(u), sizes) for u in used], np.int64)
@@ -172,13 +173,12 @@ def best_fit(
             for stop in [*(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]:
                 if at < stop:
                     if rows and shard[at] != key:
-                        yield from done(rows).combine_chunks().to_batches()
-                        rows = []
+                        yield from done(rows).to_batches()
                     key = shard[at]
                     rows.append(batch.slice(at, stop - at))
                 at = stop
         if rows:
-            yield from done(rows).combine_chunks().to_batches()
+            yield from done(rows).to_batches()
 
     width = min(shards, max(shuffle_width(docs.sparkSession), 1))
     placed = salted.repartition(width, "shard").sortWithinPartitions("shard").select("shard", *own)

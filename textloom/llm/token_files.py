@@ -72,15 +72,20 @@ class WordCoder:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    def _encoded(self, texts: list[str], size: int) -> Iterator[np.ndarray]:
+        """The library's ids, size texts at a time: its own results are many times as large."""
+        for at in range(0, len(texts), size):
+            for got in self.tokenizer.encode_batch_fast(texts[at : at + size], add_special_tokens=False):
+                yield np.array(got.ids, "<u4")
+
     def _apart(self, words: list[str]) -> Iterator[bytes]:
-        for got in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
-            yield np.array(got.ids, "<u4").tobytes()
+        for ids in self._encoded(words, 4096):
+            yield ids.tobytes()
 
     def _together(self, words: list[str]) -> Iterator[bytes]:
         """The ids of words of letters."""
         groups = [words[a : a + 256] for a in range(0, len(words), 256)]
-        for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, "<u4")
+        for group, ids in zip(groups, self._encoded([" ".join(g) for g in groups], 16), strict=True):
             ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
             if len(ends) != len(group):  # a letter became more than one piece
                 yield from self._apart(group)
