@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from textloom.llm import components as C
@@ -70,3 +71,20 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (102, 100), (7, 7), (50, 50)]
     got = {r["node"]: r["component"] for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100, 50: 50}
+
+
+def test_a_region_gives_fewer_links_than_it_has_members():
+    rng = np.random.default_rng(3)
+    base = np.arange(100)
+    sets = [np.unique(np.concatenate((rng.choice(base, 88, replace=False), rng.integers(1000, 1100, 4)))).astype(np.uint64) for _ in range(200)]
+    a, b = (np.concatenate(x).tolist() for x in zip(*J.Region(list(range(200)), [s.tobytes() for s in sets], 8, 10).links(), strict=True))
+    assert 0 < len(a) < 200
+
+    def parts(edges):
+        label = list(range(200))
+        for x, y in edges:
+            label = [label[x] if v == label[y] else v for v in label]
+        return [label.index(v) for v in label]
+
+    like = lambda x, y: 10 * len(np.intersect1d(x, y)) >= 8 * len(np.union1d(x, y))
+    assert parts(zip(a, b, strict=True)) == parts([(i, j) for i in range(200) for j in range(i) if like(sets[i], sets[j])])

@@ -219,16 +219,23 @@ class Region:
         return out
 
     def links(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Links enough to connect all that is linked: pivot, window, smaller region, until none is left."""
+        """Links enough to connect all that is linked: pivot, window, smaller region, until none is left.
+
+        Of links that a pivot finds only those are given that connect what was not connected yet, so a region of n
+        members gives fewer than n, however alike they are; and what is one component needs no further pivot.
+        """
         radius, here = 1 - self.num / self.den, np.arange(len(self.ids))
-        p = 0
-        while len(here) > 1:
+        p, part = 0, np.arange(len(self.ids))
+        while len(here) > 1 and (part[here] != part[here[0]]).any():
             others = here[here != p]
             inter = self.shared(p, others)
             union = self.sizes[others] + self.sizes[p] - inter
             near = self.den * inter >= self.num * union
-            if near.any():
-                yield np.full(near.sum(), self.ids[p]), self.ids[others[near]]
+            parts, first = np.unique(part[others[near]], return_index=True)
+            new = first[parts != part[p]]
+            if len(new):
+                yield np.full(len(new), self.ids[p]), self.ids[others[near][new]]
+                part[np.isin(part, parts)] = part[p]
             far = others[~near]
             if not len(far):
                 return
