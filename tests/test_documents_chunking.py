@@ -73,7 +73,7 @@ def test_normalize(spark):
     df = spark.createDataFrame(rows, "query_id string, target_lang string, passages struct<is_selected:array<int>,English_passages:array<string>,Translated_passages:array<string>>")
     got = documents.normalize_records(df, dataset_name="d").orderBy("source.passage_index").collect()
     assert [(r["text"], r["source"]["text_source"], r["source"]["is_selected"]) for r in got] == [("एक", "translated", 1), ("two", "english_fallback", 0)]
-    want = hashlib.sha1(json.dumps(["d", "default", "validation", "42", "1", "two"]).encode()).hexdigest()[:20]
+    want = hashlib.sha1(json.dumps(["d", "default", "validation", "42", 1, "two"]).encode()).hexdigest()[:20]
     assert got[1]["document_id"] == f"doc-{want}"
 
 

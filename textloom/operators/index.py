@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import tokens
+from textloom.sources import store
+from textloom.sources.readers import json_index
 
 
 @dataclass
@@ -42,39 +44,86 @@ def derived(chunks: DataFrame, postings: DataFrame) -> Index:
     return Index(chunks, postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats)
 
 
-def write(index: Index, path: str, mode: str = "overwrite") -> None:
-    """Persist; postings are laid out by term, so a query's terms prune row groups."""
-    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/postings")
-    index.chunks.write.mode(mode).parquet(f"{path}/chunks")
-    stored = derived(*(index.chunks.sparkSession.read.parquet(f"{path}/{t}") for t in ("chunks", "postings")))
-    stored.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
-    stored.corpus_stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
+def _segment(part: Index, path: str) -> str:
+    """Write an index as a segment. Postings lie by term and chunk, so a frequent term spreads over files and a query's terms prune row groups."""
+    spark = part.chunks.sparkSession
+    name = store.put(path, {"postings": part.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"), "chunks": part.chunks})
+    stored = derived(*(store.get(spark, path, t, [name]) for t in ("chunks", "postings")))
+    for label, df in (("term_stats", stored.term_stats), ("corpus_stats", stored.corpus_stats)):
+        df.write.parquet(f"{path}/segments/{name}/{label}")
+    return name
+
+
+def write(index: Index, path: str) -> None:
+    """Make index the store's whole content, in one commit."""
+    spark = index.chunks.sparkSession
+    store.commit(spark, path, [_segment(index, path)])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return store.segments(spark, path) is not None
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("chunks", "postings", "term_stats", "corpus_stats")))
+    """The stored index. Statistics are sums over its segments', so adding a segment never counts old postings again."""
+    live = store.segments(spark, path)
+    chunks, postings, terms, totals = (store.get(spark, path, t, live) for t in ("chunks", "postings", "term_stats", "corpus_stats"))
+    if len(live) > 1:
+        terms = terms.groupBy("term").agg(F.sum("df").alias("df"))
+        totals = totals.agg(F.sum("n_chunks").alias("n_chunks"), F.sum("total_length").alias("total_length"))
+    return Index(chunks, postings, terms, totals)
 
 
-def append_new(path: str, chunks: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text", tokenizer=tokens) -> int:
+def append_new(path: str, chunks: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text", tokenizer=tokens, segments: int = 32) -> int:
     """Add the chunks whose id the stored index lacks; a repeated id within chunks goes in once. Returns how many.
 
-    Postings are written before the chunks that make their ids known, and only for ids without any, so running it
-    again, also after a loss half-way, completes the index and adds nothing twice.
+    What is new becomes a segment with its own statistics and counts from its commit on, so a loss half-way changes
+    nothing and running it again adds nothing twice. Of the old index only ids are read. Beyond the given number of
+    segments all are written together as one.
     """
     spark = chunks.sparkSession
-    have = spark.read.parquet(f"{path}/chunks").select(F.col("chunk_id").alias("_have"))
-    new = chunks.dropDuplicates([id_col]).join(have, F.col(id_col) == F.col("_have"), "left_anti")
-    draft = f"{path}/_new-{uuid.uuid4().hex}"
+    at = store.last(spark, path)
+    new = chunks.dropDuplicates([id_col])
+    if at >= 0:
+        have = store.get(spark, path, "chunks").select(F.col("chunk_id").alias("_have"))
+        new = new.join(have, F.col(id_col) == F.col("_have"), "left_anti")
+    draft = f"{path}/segments/_new-{uuid.uuid4().hex}"
     new.write.parquet(draft)
-    part = build(spark.read.parquet(draft), id_col=id_col, text_col=text_col, tokenizer=tokenizer)
-    count = part.chunks.count()
-    if count:
-        posted = spark.read.parquet(f"{path}/postings").select("chunk_id").distinct()
-        part.postings = part.postings.join(posted, "chunk_id", "left_anti").select(*part.postings.columns)
-        write(part, path, mode="append")
+    name = _segment(build(spark.read.schema(new.schema).parquet(draft), id_col=id_col, text_col=text_col, tokenizer=tokenizer), path)
+    count = store.get(spark, path, "corpus_stats", [name]).first()["n_chunks"]
+    if count or at < 0:
+        live = [*(store.segments(spark, path) or []), name]
+        store.commit(spark, path, live, at)
+        if len(live) > segments:
+            compact(spark, path)
     return count
 
 
+def compact(spark: SparkSession, path: str) -> None:
+    """Write all segments together as one."""
+    write(load(spark, path), path)
+
+
+def save_json(index: Index, path: str, *, k1: float = 1.5, b: float = 0.75, chunks_per_file: int = 10_000) -> None:
+    """Export as JSON: each file is {"version": 1, "config", "chunks": [...]} with about chunks_per_file of the chunks."""
+    files = F.greatest(F.lit(1), F.ceil(F.col("n_chunks") / chunks_per_file))
+    held = index.chunks.drop("doc_length").crossJoin(F.broadcast(index.corpus_stats.select(files.alias("_files"))))  # one row
+    names = [c for c in held.columns if c != "_files"]
+    config = F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.struct(F.lit(True).alias("lowercase"), F.lit("NFC").alias("unicode_normalization"), F.lit(1).alias("min_token_length")).alias("tokenizer"))
+    rows = held.groupBy(F.pmod(F.xxhash64("chunk_id"), F.col("_files")).alias("_file")).agg(F.collect_list(F.struct(*names)).alias("chunks"))
+    rows.select(F.lit(1).alias("version"), config.alias("config"), "chunks").write.option("maxRecordsPerFile", 1).json(path)
+
+
+def migrate_json(spark: SparkSession, source: str, path: str) -> dict[str, int]:
+    """Rebuild a JSON export as a stored index in place of what path holds; {"source": chunks read, "stored": chunks stored}.
+
+    Chunks without an id or text are not stored, which the numbers show.
+    """
+    chunks = json_index(spark, source)
+    write(build(chunks.dropDuplicates(["chunk_id"])), path)
+    return {"source": chunks.count(), "stored": load(spark, path).corpus_stats.first()["n_chunks"]}
+
+
 def upserted(index: Index, chunks: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text", tokenizer=tokens) -> Index:
     """The index with chunks in place of those of the same ids."""
     part = build(chunks.dropDuplicates([id_col]), id_col=id_col, text_col=text_col, tokenizer=tokenizer)
