@@ -47,7 +47,7 @@ def test_fuse(spark):
 def test_knn_in_blocks(spark):
     v = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(40)], "chunk_id int, embedding array<double>")
     q = v.filter("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "query_id")
-    one, many = ({(r["query_id"], r["rank"]): r["chunk_id"] for r in search.knn(q, v, 3, block=b).collect()} for b in (100, 1))
+    one, many = ({(r["query_id"], r["rank"]): r["chunk_id"] for r in search.knn(q, v, 3, block_bytes=b).collect()} for b in (1600, 16))
     assert one == many and all(one[q, 1] == q for q in (0, 10, 20, 30))
     assert search.knn(q.limit(0), v).count() == 0
 
@@ -91,5 +91,57 @@ def test_parse_and_route(spark):
     df = spark.createDataFrame([('```json\n{"answer":"x","grounded":true,"source_ids":["s1","zz","s1"],"confidence":0.4}\n```',), ("oops",)], "raw string")
     got = [r[0] for r in df.select(routing.parse_output(F.col("raw"), F.array(F.lit("c1")), F.create_map(F.lit("s1"), F.lit("c1")))).collect()]
     assert got[0]["source_ids"] == ["c1"] and got[0]["grounded"] and got[1] is None
-    routes = [r[0] for r in spark.createDataFrame([(0.9,), (0.35,), (0.1,), (-1.0,), (None,)], "s double").select(routing.decide_route(F.col("s"), 0.5, 0.2)).collect()]
-    assert routes == ["EXTRACTIVE_ELIGIBLE", "LOCAL_ELIGIBLE", "LOCAL_UNCERTAIN", "REMOTE_REQUIRED", "REMOTE_REQUIRED"]
+    routes = [r[0] for r in spark.createDataFrame([(0.9,), (0.35,), (0.1,), (-1.0,), (None,)], "s double").select(routing.decide_route(F.col("s"))).collect()]
+    assert routes == ["EXTRACTIVE_ELIGIBLE", "LOCAL_ELIGIBLE", "LOCAL_UNCERTAIN", "GROQ_REQUIRED", "GROQ_REQUIRED"]
+
+
+def test_pruned_terms_and_short_lists(spark):
+    """Small thresholds against scores by hand: heavy terms go once the light ones find enough, or all but the rarest."""
+    import math as m
+    import random
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["a", "a", "b", "c", f"x{i % 9}"]) for _ in range(rng.randint(1, 30))) for i in range(60)]
+    i = index.build(spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string"))
+    q = spark.createDataFrame([(0, "a b x1"), (1, "a b c"), (2, "x1 x2 x3 x4 a")], "query_id int, query string")
+    words = [t.split() for t in texts]
+    df = {t: sum(t in w for w in words) for w in words for t in w}
+    average = sum(map(len, words)) / len(words)
+
+    def score(t, w):
+        f = w.count(t)
+        return m.log(1 + (60 - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(w) / average))
+
+    def best(terms, pool=range(60), k=5):
+        found = {d: round(sum(score(t, words[d]) for t in terms if t in words[d]), 6) for d in pool}
+        return sorted(((-s, d) for d, s in found.items() if s > 0))[:k]
+
+    have = lambda df_: {k: [(-r["score"], r["chunk_id"]) for r in sorted(df_, key=lambda r: r["rank"]) if r["query_id"] == k] for k in range(3)}
+    got = have(search.bm25_pruned(q, i, 5, df_threshold=10, min_candidates=6).collect())
+    rough = have(search.bm25_two_phase(q, i, 5, shortlist=7).collect())
+    for k, query in enumerate(["a b x1", "a b c", "x1 x2 x3 x4 a"]):
+        terms = query.split()
+        light = [t for t in terms if df[t] <= 10]
+        heavy = sorted((t for t in terms if df[t] > 10), key=lambda t: (df[t], t))
+        kept = light + ([] if sum(any(t in w for t in light) for w in words) >= 6 else heavy[:1])
+        assert [(round(a, 5), b) for a, b in got[k]] == [(round(a, 5), b) for a, b in best(kept)]
+        idf = lambda t: m.log(1 + (60 - df[t] + 0.5) / (df[t] + 0.5))
+        first = sorted((-round(sum(idf(t) * 2.5 * w.count(t) / (w.count(t) + 1.5) for t in terms if t in w), 6), d) for d, w in enumerate(words) if set(terms) & set(w))[:7]
+        assert [(round(a, 5), b) for a, b in rough[k]] == [(round(a, 5), b) for a, b in best(terms, [d for _, d in first])]
+
+
+def test_containing(spark):
+    texts = ["one two three four", "zone two threefold", "two three", "one two", "", "one  two three"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string")
+    asked = ["one two three", "two three", "two", "absent word here", " ", "ne two thr"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    got = {(r["query_id"], r["chunk_id"]) for r in search.containing(q, index.build(chunks), chunks).collect()}
+    assert got == {(i, j) for i, a in enumerate(asked) for j, t in enumerate(texts) if a.strip() and a in t and (len(a.split()) > 2 or set(a.split()) <= set(t.split()))}
+
+
+def test_cases_and_metadata(spark):
+    rows = [("c2", "q1", 1), ("c1", "q1", 1), ("c3", "q2", 0), ("c0", "q3", 1), ("c4", None, 1)]
+    df = spark.createDataFrame([(c, (s, "src"), (q,), "d") for c, q, s in rows], "chunk_id string, source struct<is_selected:int,split:string>, metadata struct<query:string>, document_id string")
+    assert [(r["query"], r["chunk_ids"]) for r in search.cases(df).collect()] == [("q3", ["c0"]), ("q1", ["c1", "c2"])] and search.cases(df, 1).count() == 1
+    x = search.result_metadata(df).filter("chunk_id = 'c0'").first()["metadata"].asDict()
+    assert x["split"] == "src" and x["parent_chunk_id"] == "d" and x["document_metadata"]["query"] == "q3" and x["chunk_id"] == "c0"

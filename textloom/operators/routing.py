@@ -2,15 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROUTES = ("EXTRACTIVE_ELIGIBLE", "LOCAL_ELIGIBLE", "LOCAL_UNCERTAIN", "REMOTE_REQUIRED")
+# --- fixed values: how an answer is made, and why one is refused
+EXTRACTIVE, LOCAL, UNCERTAIN, REMOTE = "EXTRACTIVE_ELIGIBLE", "LOCAL_ELIGIBLE", "LOCAL_UNCERTAIN", "GROQ_REQUIRED"
+REFUSALS = (
+    "A. input guardrail",
+    "B. retrieval.found == false (no passages)",
+    "C. output grounding",
+    "D. low confidence / model refused",
+    "E. other guardrail",
+)
+# ---
+
+
+@dataclass(frozen=True)
+class Thresholds:
+    """Least scores for a direct answer and for the local model. Fused scores of the fast route have another scale than reranked ones."""
 
+    extractive: float = 0.50
+    local: float = 0.20
+    fast_extractive: float = 0.015
+    fast_local: float = 0.005
+    extractive_enabled: bool = True
 
-def decide_route(score: Column, extractive: float, local: float) -> Column:
-    """How an answer is made from the best score; no score, or one below 0, needs the remote model."""
-    return F.when(score >= extractive, ROUTES[0]).when(score >= local, ROUTES[1]).when(score >= 0, ROUTES[2]).otherwise(ROUTES[3])
+
+def decide_route(score: Column, t: Thresholds = Thresholds(), *, fast: Column | None = None, text: Column | None = None) -> Column:  # noqa: B008
+    """How an answer is made from the best result's score: from its text, by the local model, or by the remote one.
+
+    No result (a null score), or a score below 0, needs the remote model; a blank text can't answer directly.
+    """
+    quick = F.lit(False) if fast is None else F.coalesce(fast, F.lit(False))
+    least = lambda a, b: F.when(quick, F.lit(a)).otherwise(F.lit(b))
+    direct = F.lit(t.extractive_enabled) & (score >= least(t.fast_extractive, t.extractive))
+    if text is not None:
+        direct = direct & (F.trim(F.coalesce(text, F.lit(""))) != "")
+    return F.when(direct, EXTRACTIVE).when(score >= least(t.fast_local, t.local), LOCAL).when(score >= 0, UNCERTAIN).otherwise(REMOTE)
 
 
 def adaptive_gate(fused: DataFrame, k: int = 3, rrf: float = 0.025, agreeing: int = 2, bm25: float = 5.0) -> DataFrame:
@@ -33,15 +64,22 @@ def adaptive(fused: DataFrame, rerank, k: int = 3, **gate) -> DataFrame:
     return cols(fast, "score", "fast").unionByName(cols(slow, "rerank_score", "quality"))
 
 
+def _runs(text: Column, n: int) -> Column:
+    """All runs of n letters of a text."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+
+
 def expand_queries(queries: DataFrame, terms: DataFrame) -> DataFrame:
     """queries (query_id, query, language) with expanded: the query and the English terms of what it contains.
 
     terms: ord, term, expansions (array). English and blank queries stay as they are, and so do those that contain
-    no term. A term may be any substring, so this is a join by containment over a dictionary of bounded size.
+    no term. A term may be any substring, so queries meet terms by the runs of letters of each length that terms have.
     """
     q = queries.filter((F.col("language") != "en") & (F.trim("query") != ""))
-    # a dictionary of some hundred rows
-    hit = q.join(F.broadcast(terms), F.contains(F.col("query"), F.col("term")))
+    lengths = [r[0] for r in terms.select(F.length("term")).distinct().collect() if r[0]]  # as many as terms have different lengths
+    runs = [_runs(F.col("query"), n) for n in lengths]
+    parts = q.select("query_id", F.explode(F.array_distinct(F.flatten(F.array(*runs)) if runs else F.array().cast("array<string>"))).alias("term"))
+    hit = parts.join(terms, "term")
     found = hit.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ord", "expansions"))).alias("e"))
     found = found.select("query_id", F.array_distinct(F.flatten(F.transform("e", lambda x: x["expansions"]))).alias("_new"))
     return queries.join(found, "query_id", "left").withColumn("expanded", F.when(F.col("_new").isNull(), F.col("query")).otherwise(F.concat_ws(" ", "query", F.array_join("_new", " ")))).drop("_new")
@@ -61,6 +99,21 @@ def translate(texts: DataFrame, dictionary: DataFrame, text_col: str = "text", s
     return out.withColumn("translated", F.when(keep, F.col(text_col)).otherwise(F.col("_x"))).drop("_s", "_t", "_p", "_x")
 
 
+def translate_cached(texts: DataFrame, cache: DataFrame, translator: Callable[[DataFrame], DataFrame], text_col: str = "text", source: str = "source", target: str = "target") -> tuple[DataFrame, DataFrame]:
+    """(texts with translated, new cache rows): each trimmed text and pair of languages absent from cache (text, source,
+    target, translated) is translated once by translator(rows of text, source, target) -> rows with translated.
+
+    What the translator leaves null, and a text of the target's own language, stays as it is.
+    """
+    keys = ["text", "source", "target"]
+    named = texts.withColumns({"_text": F.trim(text_col), "_source": F.col(source), "_target": F.col(target)})
+    asked = named.filter("_text <> '' AND _source <> _target").select(F.col("_text").alias("text"), F.col("_source").alias("source"), F.col("_target").alias("target")).distinct()
+    new = translator(asked.join(cache.select(*keys), keys, "left_anti")).select(*keys, "translated").filter("translated IS NOT NULL")
+    known = cache.select(*keys, "translated").unionByName(new).dropDuplicates(keys).toDF("_text", "_source", "_target", "translated")
+    out = named.join(known, ["_text", "_source", "_target"], "left").withColumn("translated", F.coalesce("translated", text_col))
+    return out.drop("_text", "_source", "_target"), new
+
+
 def multilingual(queries: DataFrame, retrieve, translations: DataFrame, least: float = 0.015) -> DataFrame:
     """retrieve(queries) for all; queries whose best score stays under least try once more in translation.
 
@@ -111,11 +164,11 @@ def parse_output(raw: Column, valid: Column, aliases: Column | None = None) -> C
 def refusal_origin(status: Column, guard: Column, n_results: Column, grounded: Column) -> Column:
     """Why a request was refused, or null where it was answered and grounded."""
     why = (
-        F.when(guard == "blocked", "A. input guardrail")
-        .when(n_results == 0, "B. no passages")
-        .when(~grounded & (status == "answered"), "C. output grounding")
-        .when(guard == "low_confidence", "D. low confidence")
-        .otherwise("E. other guardrail")
+        F.when(guard == "blocked", REFUSALS[0])
+        .when(n_results == 0, REFUSALS[1])
+        .when(~grounded & (status == "answered"), REFUSALS[2])
+        .when(guard == "low_confidence", REFUSALS[3])
+        .otherwise(REFUSALS[4])
     )
     return F.when((status == "refused") | ~grounded, why)
 

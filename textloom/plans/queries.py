@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
-from textloom.operators import chunking, documents, embedding, evaluation, index, routing, search
-from textloom.sources.readers import table
+from textloom.operators import answer, chunking, documents, embedding, evaluation, index, routing, search, vectors
+from textloom.sources import readers
+from textloom.sources.readers import spread, table
+from textloom.sources.store import work_path as folder
 from textloom.streaming.ingest import ingest_available
 
 _INDEXES: dict[tuple[str, str], str] = {}
@@ -19,13 +21,13 @@ DIM = 64
 FIXED = chunking.ChunkConfig(max_size=64, overlap=8, min_size=16, strategy="fixed")
 
 
-def folder(spark: SparkSession, label: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='textloom-')}"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for work that is heavy on each."""
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("language"))
+    return texts(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("language"))
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> index.Index:
@@ -43,7 +45,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors_of(df: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
-    return embedding.hash_embedding(df, id_col, text_col, dim=DIM, input_type=kind)
+    return embedding.hash_embedding(df, id_col, text_col, dim=DIM, input_type=kind).withColumnRenamed("id", id_col)
 
 
 # --- fixed values: a small bilingual dictionary and texts in several scripts
@@ -74,9 +76,9 @@ def _values(rows) -> str:
 
 
 ASKED_SQL = f"asked AS (SELECT * FROM (VALUES {_values(ASKED)}) v(query_id, query) UNION ALL SELECT item_id + 1000, text FROM benchmark)"
-KEY = "replace(lower({0}), 'ß', 'ss')"
-TOK = r"regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\p{{L}}\p{{N}}\p{{M}}_]+')"
-CLEAN = r"nullif(trim(regexp_replace({0}, '[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}]+', ' ', 'g')), '')"
+KEY = "replace(lower(nfc_normalize({0})), 'ß', 'ss')"
+TOK = r"regexp_extract_all(replace(lower(nfc_normalize({0})), 'ß', 'ss'), '[\p{{L}}\p{{N}}\p{{M}}_]+')"
+CLEAN = r"nullif(trim(regexp_replace(nfc_normalize({0}), '[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}]+', ' ', 'g')), '')"
 BASE = f"""
 lists AS (SELECT doc_id, {TOK.format('text')} AS l FROM documents WHERE trim(text) <> ''),
 post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(l) AS term FROM lists) GROUP BY ALL),
@@ -92,7 +94,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 VECTOR = """
 h_{name} AS (SELECT id, CAST(('0x' || substr(sha256(w), 1, 8))::BIGINT % {dim} AS INT) AS idx,
            sum(CASE WHEN ('0x' || substr(sha256(w), 9, 2))::INT % 2 = 1 THEN 1 ELSE -1 END) AS value
-         FROM (SELECT {id} AS id, unnest(list_filter(regexp_split_to_array(replace(lower('{kind}: ' || text), 'ß', 'ss'), '[\\s]+'), lambda x: x <> '')) AS w FROM {table}) GROUP BY ALL),
+         FROM (SELECT {id} AS id, unnest(list_filter(regexp_split_to_array(replace(lower(nfc_normalize('{kind}: ' || text)), 'ß', 'ss'), '[\\s]+'), lambda x: x <> '')) AS w FROM {table}) GROUP BY ALL),
 v_{name} AS (SELECT id, idx, value / sqrt(sum(value * value) OVER (PARTITION BY id)) AS x FROM h_{name} WHERE value <> 0)"""
 
 
@@ -113,9 +115,8 @@ first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 
 def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, q = corpus(spark, sf_dir), asked(spark, sf_dir)
-    dv = vectors_of(d, "chunk_id", "text", "passage").withColumnRenamed("id", "chunk_id")
-    qv = vectors_of(q, "query_id", "query", "query").withColumnRenamed("id", "query_id")
-    return search.bm25_first(q, qv, index_of(spark, sf_dir), dv, 10)
+    pool = lambda ids: vectors_of(d.join(ids, "chunk_id", "left_semi"), "chunk_id", "text", "passage")
+    return search.bm25_first(q, vectors_of(q, "query_id", "query", "query"), index_of(spark, sf_dir), pool, 10)
 
 
 def _fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,12 +134,12 @@ fixed AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(row_number() OVER
 
 
 def clean_text(s, d):
-    return table(s, d, "documents").select("doc_id", X.clean(F.col("text")).alias("cleaned"))
+    return texts(s, d).select("doc_id", X.clean(F.col("text")).alias("cleaned"))
 
 
 def tokenize_counts(s, d):
-    t = X.tokens(F.col("text"))
-    return table(s, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_terms"))
+    t = texts(s, d).select("doc_id", X.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms"))
 
 
 def language_filter(s, d):
@@ -156,7 +157,7 @@ def dedup_stats(s, d):
 
 def document_ids(s, d):
     t = X.clean(F.col("text"))
-    return table(s, d, "documents").select("doc_id", documents.document_id("doc-", F.lit("docs"), F.lit("default"), F.lit("all"), F.lit(None).cast("string"), F.lit(0), t).alias("document_id"))
+    return texts(s, d).select("doc_id", documents.document_id("doc-", F.lit("docs"), F.lit("default"), F.lit("all"), F.lit(None).cast("string"), F.lit(0), t).alias("document_id"))
 
 
 def chunk_fixed(s, d):
@@ -187,7 +188,7 @@ def chunk_semantic(s, d):
 
 
 def sentence_split(s, d):
-    return table(s, d, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("place", "sentence"))
+    return texts(s, d).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("place", "sentence"))
 
 
 def term_frequency(s, d):
@@ -211,25 +212,27 @@ def bm25_topk(s, d):
 
 
 def bm25_stopterm_pruned(s, d):
-    return search.bm25_pruned(asked(s, d), index_of(s, d), 10, df_threshold=100, min_candidates=50).select("query_id", "chunk_id", "score", "rank")
+    return search.bm25_pruned(asked(s, d), index_of(s, d), 10).select("query_id", "chunk_id", "score", "rank")
 
 
 def bm25_two_phase(s, d):
-    return search.bm25_two_phase(asked(s, d), index_of(s, d), 10, shortlist=50).select("query_id", "chunk_id", "score", "rank")
+    return search.bm25_two_phase(asked(s, d), index_of(s, d), 10).select("query_id", "chunk_id", "score", "rank")
 
 
 def bm25_incremental_append(s, d):
+    """Three additions, the last with what is there already, then all segments as one: postings as of one build."""
     path, all_docs = folder(s, "append"), corpus(s, d)
-    index.write(index.build(all_docs.filter("language = 'en'")), path)
-    index.append_new(path, all_docs)
-    got = index.load(s, path)
-    return got.term_stats.groupBy().agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings")).crossJoin(got.corpus_stats.select("n_chunks", "total_length"))
+    for part in (all_docs.filter("language = 'en'"), all_docs.filter("chunk_id % 2 = 0"), all_docs):
+        index.append_new(path, part)
+    index.compact(s, path)
+    return index.load(s, path).postings.select(F.col("chunk_id").alias("doc_id"), "term", "tf")
 
 
 def index_merge(s, d):
+    """Of parts that overlap and that don't: together the corpus, none of them it."""
     c = corpus(s, d)
-    m = index.merged(index.build(c.filter("language = 'en'")), index.build(c.filter("language IN ('en', 'de')")), index.build(c))
-    return m.term_stats
+    parts = ("language = 'en'", "language IN ('en', 'de') AND chunk_id % 3 > 0", "coalesce(language, '') <> 'en' AND chunk_id % 3 = 0", "coalesce(language, '') <> 'en' AND chunk_id % 3 > 0")
+    return index.merged(*[index.build(c.filter(p)) for p in parts]).term_stats
 
 
 def index_upsert(s, d):
@@ -240,7 +243,7 @@ def index_upsert(s, d):
 
 
 def hash_embedding(s, d):
-    t = embedding.hash_terms(table(s, d, "documents"), "doc_id", "text", DIM, "passage")
+    t = embedding.hash_terms(texts(s, d), "doc_id", "text", DIM, "passage")
     return t.select(F.col("id").alias("doc_id"), "idx", F.col("value").cast("long").alias("value"))
 
 
@@ -256,15 +259,13 @@ def bm25_first_hybrid(s, d):
 
 def rrf_fuse(s, d):
     i, q = index_of(s, d), asked(s, d)
-    a, b = search.bm25(q, i, 20), search.bm25_two_phase(q, i, 20, shortlist=50)
+    a, b = search.bm25(q, i, 20), search.bm25_two_phase(q, i, 20)
     return search.fuse(b, a, 10).select("query_id", "chunk_id", "score", "rank")
 
 
 def hybrid_dual(s, d):
     docs, q = corpus(s, d), asked(s, d)
-    dv = vectors_of(docs, "chunk_id", "text", "passage").withColumnRenamed("id", "chunk_id")
-    qv = vectors_of(q, "query_id", "query", "query").withColumnRenamed("id", "query_id")
-    return search.hybrid(q, qv, index_of(s, d), dv, 10).select("query_id", "chunk_id", "score", "rank")
+    return search.hybrid(q, vectors_of(q, "query_id", "query", "query"), index_of(s, d), vectors_of(docs, "chunk_id", "text", "passage"), 10).select("query_id", "chunk_id", "score", "rank")
 
 
 def lexical_rerank(s, d):
@@ -282,7 +283,7 @@ def adaptive_route(s, d):
 
 
 def decide_route(s, d):
-    return table(s, d, "events").select("event_id", routing.decide_route(F.col("value") / 100, 0.5, 0.2).alias("route"))
+    return table(s, d, "events").select("event_id", routing.decide_route(F.col("value") / 100, fast=F.col("user_id") % 2 == 0, text=F.when(F.col("event_type") == "view", " ").otherwise("a")).alias("route"))
 
 
 def input_guardrails(s, d):
@@ -349,7 +350,7 @@ def eval_recall_mrr(s, d):
 def retrieval_ablation(s, d):
     """Each benchmark text's relevant chunks are the documents that contain it."""
     i, q = index_of(s, d), asked(s, d)
-    rel = q.join(corpus(s, d), F.contains(F.col("text"), F.col("query"))).select("query_id", "chunk_id")
+    rel = search.containing(q, i, i.chunks)
     named = lambda df, name: df.select("query_id", "chunk_id", "rank", F.lit(name).alias("system"))
     b = search.bm25(q, i, 10)
     systems = named(b, "bm25").unionByName(named(_first(s, d), "bm25_first")).unionByName(named(search.lexical_rerank(b, q, i.chunks, 5), "reranked"))
@@ -365,7 +366,7 @@ def latency_percentiles_indexed(s, d):
 
 
 def route_distribution(s, d):
-    e = table(s, d, "events").withColumn("route", routing.decide_route(F.col("value") / 100, 0.5, 0.2))
+    e = table(s, d, "events").withColumn("route", routing.decide_route(F.col("value") / 100))
     return evaluation.route_report(e, "route", "value", F.col("event_type") == "click")
 
 
@@ -379,9 +380,12 @@ def refusal_classification(s, d):
 
 
 def index_equality(s, d):
-    i, q = index_of(s, d), asked(s, d)
-    fresh = index.build(corpus(s, d))
-    return evaluation.differences(search.bm25(q, i, 5), search.bm25(q, fresh, 5)).groupBy().agg(F.count(F.lit(1)).alias("differences"))
+    """Rankings of the stored index against those of one merged from two halves: rows compared, and rows that differ."""
+    c, q = corpus(s, d), asked(s, d)
+    halves = index.merged(index.build(c.filter("chunk_id % 2 = 0")), index.build(c.filter("chunk_id % 2 = 1")))
+    a, b = search.bm25(q, index_of(s, d), 5), search.bm25(q, halves, 5)
+    n = F.count(F.lit(1))
+    return a.agg(n.alias("compared")).crossJoin(evaluation.differences(a, b).agg(n.alias("differences")))
 
 
 def normalize_passages(s, d):
@@ -395,7 +399,132 @@ def normalize_passages(s, d):
 
 def streaming_ingest(s, d):
     path = folder(s, "stream")
-    return ingest_available(s, f"{d}/documents.parquet", table(s, d, "documents").schema, path, id_col="doc_id").corpus_stats
+    return ingest_available(s, f"{d}/documents.parquet", table(s, d, "documents").schema, path, id_col="doc_id").postings.select(F.col("chunk_id").alias("doc_id"), "term", "tf")
+
+
+def _raw(s, d):
+    """Conversations as raw records, numbered by conversation."""
+    c = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    found = F.transform("t", lambda x: x["text"])
+    passages = F.struct(F.transform("t", lambda x, i: (i == 1).cast("int")).alias("is_selected"), found.alias("English_passages"), F.array().cast("array<string>").alias("Translated_passages"))
+    return c.select(F.col("conv_id").alias("row_index"), F.col("conv_id").cast("string").alias("query_id"), F.lit("eng_Latn").alias("target_lang"), found[0].alias("query"), passages.alias("passages"))
+
+
+def load_documents(s, d):
+    docs, _ = documents.load_documents(_raw(s, d), dataset_name="conversations")
+    return docs.select("document_id", "query_id", docs["source"]["passage_index"].alias("passage_index"))
+
+
+def load_statistics(s, d):
+    return documents.load_documents(_raw(s, d), dataset_name="conversations")[1]
+
+
+def selected_documents(s, d):
+    return documents.selected(documents.normalize_records(_raw(s, d), dataset_name="conversations")).select("query_id", "text")
+
+
+def relevance_cases(s, d):
+    docs = documents.normalize_records(_raw(s, d), dataset_name="conversations").withColumn("chunk_id", F.col("document_id"))
+    return search.cases(docs).select(F.sha2("query", 256).alias("query_sha256"), F.array_join("chunk_ids", ",").alias("chunk_ids"))
+
+
+def chunk_provenance(s, d):
+    docs = documents.normalize_records(_raw(s, d), dataset_name="conversations")
+    c = chunking.chunk_documents(docs, chunking.ChunkConfig(max_size=100_000, overlap=0))
+    return c.select("document_id", "parent_chunk_id", "chunk_index", *[F.col(f"source.{k}").cast("string").alias(k) for k in ("language", "query_id", "dataset_name", "split", "passage_index", "text_source")], F.col("metadata.original_document_id").alias("origin"))
+
+
+def chunk_validation(s, d):
+    """Chunks of which some are damaged: first chunks of some documents lost, some texts changed, one document twice."""
+    c, n = _fixed(s, d), F.col("document_id").cast("long")
+    damaged = c.filter(~((n % 10 == 0) & (F.col("chunk_index") == 0))).withColumn("text", F.when(n % 10 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return chunking.validate_chunks(damaged.unionByName(damaged.filter("document_id = '12'")), "fixed")
+
+
+def chunk_payload(s, d):
+    p = vectors.payload(_fixed(s, d))
+    return _fixed(s, d).select("document_id", "chunk_index", p["parent_chunk_id"].alias("parent_chunk_id"), p["language"].alias("language"), p["chunk_strategy"].alias("chunk_strategy"), p["dataset_name"].alias("dataset_name"), F.sha2(p["text"], 256).alias("text_sha256"))
+
+
+def vector_upsert(s, d):
+    """All vectors, then a tenth of them again with the sign turned."""
+    path = folder(s, "vectors")
+    e = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", F.lit("").alias("payload"))
+    vectors.ensure(s, path, len(e.first()["embedding"]))
+    vectors.upsert(path, e)
+    vectors.upsert(path, e.filter("CAST(chunk_id AS BIGINT) % 10 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    return vectors.load(s, path).select(F.col("chunk_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
+def hybrid_rerank(s, d):
+    i, q = index_of(s, d), asked(s, d)
+    return search.hybrid_rerank(_first(s, d), lambda c: search.lexical_rerank(c, q, i.chunks, 5), 3, 5).select("query_id", "chunk_id", "rerank_score", "rank")
+
+
+def containing_documents(s, d):
+    return search.containing(asked(s, d), index_of(s, d), index_of(s, d).chunks)
+
+
+def answer_plan(s, d):
+    """The whole way of all queries: adaptive retrieval, direct answers, no models."""
+    i, q = index_of(s, d), _asked(s, d)
+
+    def retrieve(fits: DataFrame) -> DataFrame:
+        pool = lambda ids: vectors_of(corpus(s, d).join(ids, "chunk_id", "left_semi"), "chunk_id", "text", "passage")
+        fused = search.bm25_first(fits, vectors_of(fits, "query_id", "query", "query"), i, pool, 10)
+        found = routing.adaptive(fused, lambda slow: search.lexical_rerank(slow, fits, i.chunks, 3), 3)
+        return search.with_text(found, i.chunks, "text").withColumn("document_id", F.col("chunk_id"))
+
+    r = answer.answer_queries(q, retrieve)
+    return r.select("query_id", F.sha2("answer", 256).alias("answer_sha256"), "status", "grounded", "guardrail_status", "guardrail_reason", "route", "confidence_decision", "retrieval_route", "num_results", "language")
+
+
+def metrics_snapshot(s, d):
+    e = table(s, d, "events").withColumns({"status": F.when(F.col("user_id") % 3 == 0, "refused").otherwise("answered"), "part": F.when(F.col("event_type") == "click", F.col("value")).otherwise(0.0)})
+    return evaluation.metrics_snapshot(e, {"total": "value", "retrieval": "part"}, route="event_type", order="event_id")
+
+
+def language_report(s, d):
+    yes = lambda n: F.col("user_id") % n == 0
+    return evaluation.per_language(table(s, d, "events"), language="event_type", answered=~yes(3), grounded=yes(2), translated=yes(5), value="value")
+
+
+def display_helpers(s, d):
+    e, v = table(s, d, "events"), F.col("value")
+    return e.select("event_id", X.time_left(v * 60).alias("left"), X.size_text(v * v * v * 40).alias("size"), X.redacted(F.col("props"), F.lit('"k"')).alias("props"))
+
+
+def file_languages(s, d):
+    c = table(s, d, "documents").select(F.concat("lang", "source").alias("stem")).distinct()
+    return c.select("stem", X.file_language(F.when(F.startswith("stem", F.lit("es")), F.concat(F.lit("TAM"), "stem")).otherwise(F.col("stem"))).alias("name"))
+
+
+def english_queries(s, d):
+    return _asked(s, d).select("query_id", X.is_english(F.col("query")).alias("english"))
+
+
+def row_index_scan(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet").withColumns({"source_file": F.col("_metadata.file_path"), "file_row": F.col("_metadata.row_index")})
+    return readers.after_row(readers.with_row_index(docs), 99).select("doc_id", "row_index")
+
+
+def json_migration(s, d):
+    """An index saved as JSON and rebuilt from it."""
+    part = index.build(corpus(s, d).filter("language = 'es'"))
+    out, path = folder(s, "json"), folder(s, "migrated")
+    index.save_json(part, out, chunks_per_file=50)
+    index.migrate_json(s, out, path)
+    return index.load(s, path).term_stats
+
+
+def embedding_cache(s, d):
+    """What a cache of the German texts' vectors saves."""
+    path, key = folder(s, "cache"), lambda c: embedding.cache_key("hash", "passage", True, F.coalesce(c, F.lit("")))
+    c = corpus(s, d)
+    _, new = embedding.embed_cached(c.filter("language = 'de'"), "text", s.createDataFrame([], "key string, embedding array<double>"), lambda t: embedding.hash_vector(t, DIM), key)
+    embedding.save_cache(s, path, new)
+    embedding.save_cache(s, path, new)
+    return embedding.cache_report(c, "text", embedding.load_cache(s, path), key)
 
 
 _ALL = (
@@ -403,6 +532,8 @@ _ALL = (
     document_frequency, corpus_stats, contains_batch, bm25_topk, bm25_stopterm_pruned, bm25_two_phase, bm25_incremental_append, index_merge, index_upsert, hash_embedding, knn_cosine_topk, bm25_first_hybrid, rrf_fuse, hybrid_dual,
     lexical_rerank, adaptive_gate, adaptive_route, decide_route, input_guardrails, grounding_overlap, context_build, citations, extract_answer, detect_language, query_expansion, dictionary_translate, parse_output_json,
     eval_recall_mrr, retrieval_ablation, latency_percentiles_linear, latency_percentiles_indexed, route_distribution, refusal_classification, index_equality, normalize_passages, streaming_ingest,
+    load_documents, load_statistics, selected_documents, relevance_cases, chunk_provenance, chunk_validation, chunk_payload, vector_upsert, hybrid_rerank, containing_documents, answer_plan, metrics_snapshot, language_report,
+    display_helpers, file_languages, english_queries, row_index_scan, json_migration, embedding_cache,
 )
 
 
@@ -410,10 +541,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _ALL}
 
 
-_SCRIPT_COUNTS = ", ".join(f"len(regexp_extract_all(t, '[{a}-{b}]')) AS c{i}" for i, (_, _, a, b) in enumerate(X.SCRIPTS))
+def _blocks_sql(pattern: str) -> str:
+    """A pattern with its code points as DuckDB writes them."""
+    return re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", pattern)
+
+
+def _bordered_sql(pattern: str) -> str:
+    """A group of words between borders, for an engine without looking around: a border lies where a word character meets another."""
+    words = re.search(r"\\b\(\?:(.*?)\)\\b", pattern)[1].split("|")
+    word, other = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+    is_word = lambda c: c == "_" or unicodedata.category(c)[0] in "LN"
+    sides = lambda c, edge: f"(?:{other}|{edge})" if is_word(c) else word
+    return "|".join(f"{sides(w[0], '^')}{w}{sides(w[-1], '$')}" for w in words)
+
+
+_SCRIPT_COUNTS = ", ".join(f"len(regexp_extract_all(t, '{_blocks_sql(block)}')) AS c{i}" for i, (_, _, block) in enumerate(X.SCRIPTS))
 _MOST = "greatest(" + ", ".join(f"c{i}" for i in range(len(X.SCRIPTS))) + ")"
 _PICK = " ".join(f"WHEN c{i} = m THEN {i}" for i in range(len(X.SCRIPTS)))
-_EDGE = r"(^|[^\p{L}\p{N}_])"
 DETECT = rf"""
 {ASKED_SQL},
 t AS (SELECT query_id, query, trim(coalesce(query, '')) AS t FROM asked),
@@ -421,12 +565,39 @@ n AS (SELECT *, {_SCRIPT_COUNTS} FROM t),
 m AS (SELECT *, {_MOST} AS m FROM n),
 k AS (SELECT *, CASE WHEN t = '' THEN -2 WHEN m = 0 THEN -1 {_PICK} END AS k FROM m),
 lang AS (SELECT query_id, query, CASE WHEN k < 0 THEN 'en'
-  WHEN k = 0 THEN CASE WHEN regexp_matches(t, '[\x{{09F0}}\x{{09F1}}]') THEN 'as' ELSE 'bn' END
-  WHEN k = 9 THEN CASE WHEN regexp_matches(t, '(छ|छन्|हुन्छ|गर्छ|भन्छ)\s*[?।]?\s*$') THEN 'ne' WHEN regexp_matches(t, '\x{{0933}}') OR query_id = 8 THEN 'mr' ELSE 'hi' END
-  ELSE CASE k {" ".join(f"WHEN {i} THEN '{c}'" for i, (_, c, _, _) in enumerate(X.SCRIPTS))} END END AS code,
-  CASE WHEN k < 0 THEN 'Latin' ELSE CASE k {" ".join(f"WHEN {i} THEN '{n}'" for i, (n, _, _, _) in enumerate(X.SCRIPTS))} END END AS script,
+  WHEN k = 0 THEN CASE WHEN regexp_matches(t, '{_blocks_sql(X.ASSAMESE)}') THEN 'as' ELSE 'bn' END
+  WHEN k = 9 THEN CASE WHEN regexp_matches(t, '{X.NEPALI_END}') THEN 'ne' WHEN regexp_matches(t, '\x{{0933}}|{_bordered_sql(X.MARATHI)}') THEN 'mr' ELSE 'hi' END
+  ELSE CASE k {" ".join(f"WHEN {i} THEN '{c}'" for i, (_, c, _) in enumerate(X.SCRIPTS))} END END AS code,
+  CASE WHEN k < 0 THEN 'Latin' ELSE CASE k {" ".join(f"WHEN {i} THEN '{n}'" for i, (n, _, _) in enumerate(X.SCRIPTS))} END END AS script,
   CASE WHEN k = -2 THEN 0.0 WHEN k = -1 THEN 1.0 ELSE round(least(m / greatest(length(t), 1), 1.0), 3) END AS confidence FROM k)"""
+# conversations as raw records: their passages with ids, and those that stay
+PASSAGES = f"""
+turns AS (SELECT conv_id, text AS raw, {CLEAN.format('text')} AS text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS INT) AS passage_index FROM conversations),
+docs AS (SELECT *, 'doc-' || substr(sha1('["conversations", "default", "validation", "' || conv_id || '", ' || passage_index || ', ' || CAST(to_json(text) AS VARCHAR) || ']'), 1, 20) AS document_id FROM turns WHERE text IS NOT NULL),
+kept AS (SELECT * FROM docs QUALIFY row_number() OVER (PARTITION BY {KEY.format('text')} ORDER BY conv_id, passage_index, document_id) = 1)"""
 RANK_OF = "row_number() OVER (PARTITION BY query_id ORDER BY {0}) AS rank"
+GATE = """g AS (SELECT query_id, max(score) FILTER (rank = 1) AS top_score, coalesce(max(bm25_score) FILTER (rank = 1), 0.0) AS top_bm25,
+            count(*) FILTER (rank <= 3 AND vector_score IS NOT NULL AND bm25_score IS NOT NULL) AS n_agreeing FROM first GROUP BY 1),
+gate AS (SELECT *, top_score >= 0.025 AND top_bm25 >= 5.0 AND n_agreeing >= 2 AS fast FROM g)"""
+RERANKED = """o AS (SELECT f.query_id, f.chunk_id, f.score, f.rank AS before, CAST(count(p.term) AS DOUBLE) AS rerank_score FROM first f JOIN q USING (query_id) LEFT JOIN post p ON p.doc_id = f.chunk_id AND p.term = q.term GROUP BY ALL)"""
+EXTRACT = r"""CASE WHEN len(s) <= 2 THEN t WHEN s[2] LIKE '%.' THEN s[1] || '. ' || s[2] ELSE s[1] || '. ' || s[2] || '.' END"""
+WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
+VALID = f"valid AS (SELECT query_id AS item_id, query AS text FROM asked WHERE trim(coalesce(query, '')) <> '' AND length(query) <= 2000 AND NOT regexp_matches(query, '(?i){X.INJECTION}'))"
+ANSWER = f"""WITH {DETECT}, {VALID}, {FIRST.replace('FROM benchmark', 'FROM valid')}, {GATE}, {RERANKED},
+found AS (SELECT query_id, chunk_id, score, rank, 'fast' AS via FROM first JOIN gate USING (query_id) WHERE fast AND rank <= 3
+          UNION ALL SELECT * FROM (SELECT query_id, chunk_id, rerank_score, {RANK_OF.format('rerank_score DESC, score DESC, chunk_id')}, 'quality' FROM o JOIN gate USING (query_id) WHERE NOT fast) WHERE rank <= 3),
+top AS (SELECT f.*, d.text AS body, trim(d.text) AS t, list_filter(list_transform(string_split(trim(d.text), '. '), lambda x: trim(x)), lambda x: x <> '') AS s, count(*) OVER (PARTITION BY query_id) AS n FROM found f JOIN documents d ON d.doc_id = f.chunk_id),
+said AS (SELECT *, {EXTRACT} AS a FROM top WHERE rank = 1),
+way AS (SELECT *, CASE WHEN score >= CASE via WHEN 'fast' THEN 0.015 ELSE 0.5 END AND trim(body) <> '' THEN 'EXTRACTIVE_ELIGIBLE' WHEN score >= CASE via WHEN 'fast' THEN 0.005 ELSE 0.2 END THEN 'LOCAL_ELIGIBLE' ELSE 'LOCAL_UNCERTAIN' END AS w,
+          trim(a) <> '' AND (contains(body, trim(a)) OR len(list_intersect(list_distinct({WORDS.format('a')}), {WORDS.format('body')})) / greatest(len(list_distinct({WORDS.format('a')})), 1) >= 0.1) AS good FROM said),
+r AS (SELECT l.query_id, l.code, w.*, CASE WHEN trim(coalesce(l.query, '')) = '' THEN 'Query is empty' WHEN length(l.query) > 2000 THEN 'Query exceeds maximum length' WHEN regexp_matches(l.query, '(?i){X.INJECTION}') THEN 'Prompt injection pattern detected' END AS rule,
+        w = 'EXTRACTIVE_ELIGIBLE' AND good AS direct FROM lang l LEFT JOIN (SELECT * RENAME (query_id AS qid) FROM way) w ON w.qid = l.query_id)
+SELECT query_id, CASE WHEN direct THEN sha256(a) END AS answer_sha256, CASE WHEN rule IS NOT NULL OR w IS NULL THEN 'refused' WHEN direct THEN 'answered' ELSE 'error' END AS status, coalesce(direct, false) AS grounded,
+  CASE WHEN rule IS NOT NULL THEN 'blocked' WHEN w IS NULL THEN 'low_confidence' WHEN direct THEN 'passed' ELSE 'error' END AS guardrail_status,
+  CASE WHEN rule IS NOT NULL THEN rule WHEN w IS NULL THEN 'No relevant passages found' WHEN NOT direct THEN 'Generation failed' END AS guardrail_reason,
+  CASE WHEN w IS NULL THEN NULL WHEN direct THEN 'extractive' ELSE 'groq' END AS route,
+  CASE WHEN rule IS NOT NULL THEN 'INPUT_BLOCKED' WHEN w IS NULL THEN 'NO_PASSAGES' WHEN w = 'EXTRACTIVE_ELIGIBLE' AND NOT direct THEN 'LOCAL_ELIGIBLE' ELSE w END AS confidence_decision,
+  via AS retrieval_route, CAST(coalesce(n, 0) AS INT) AS num_results, code AS language FROM r"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -437,7 +608,7 @@ def oracle_sql() -> dict[str, str]:
         "dedup_exact": f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY lang, {KEY.format(CLEAN.format('text'))}",
         "dedup_stats": f"""SELECT CAST(sum(n) AS BIGINT) AS records, CAST(coalesce(sum(n) FILTER (k IS NULL), 0) AS BIGINT) AS empties, CAST(coalesce(sum(n - 1) FILTER (k IS NOT NULL), 0) AS BIGINT) AS duplicates, count(*) FILTER (k IS NOT NULL) AS kept
             FROM (SELECT lang, {KEY.format(CLEAN.format('text'))} AS k, count(*) AS n FROM documents GROUP BY ALL)""",
-        "document_ids": f"""SELECT doc_id, 'doc-' || substr(sha1('["docs", "default", "all", null, "0", ' || CAST(to_json({CLEAN.format('text')}) AS VARCHAR) || ']'), 1, 20) AS document_id FROM documents""",
+        "document_ids": f"""SELECT doc_id, 'doc-' || substr(sha1('["docs", "default", "all", null, 0, ' || CAST(to_json({CLEAN.format('text')}) AS VARCHAR) || ']'), 1, 20) AS document_id FROM documents""",
         "chunk_fixed": f"WITH {FIXED_SQL} SELECT * FROM fixed",
         "chunk_ids": f"""WITH {FIXED_SQL} SELECT document_id || '--fixed-' || lpad(CAST(chunk_index AS VARCHAR), 4, '0') || '-' ||
             substr(sha1('["' || document_id || '","fixed",' || chunk_index || ',' || CAST(to_json(text) AS VARCHAR) || ']'), 1, 20) AS chunk_id FROM fixed""",
@@ -451,15 +622,15 @@ def oracle_sql() -> dict[str, str]:
         "contains_batch": "SELECT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE trim(text) <> '')",
         "bm25_topk": f"WITH {BASE} SELECT * FROM ranked WHERE rank <= 10",
         "bm25_two_phase": f"""WITH {BASE}, two AS (SELECT query_id, chunk_id, round(sum(idf * 2.5 * tf / (tf + 1.5)), 6) AS rough, round(sum(part), 6) AS score FROM met GROUP BY ALL),
-            short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rough DESC, chunk_id) AS r FROM two) WHERE r <= 50 AND score > 0)
+            short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rough DESC, chunk_id) AS r FROM two) WHERE r <= 500 AND score > 0)
             SELECT * FROM (SELECT query_id, chunk_id, score, {RANK_OF.format('score DESC, chunk_id')} FROM short) WHERE rank <= 10""",
-        "bm25_stopterm_pruned": f"""WITH {BASE}, light AS (SELECT query_id, count(DISTINCT chunk_id) AS found FROM met WHERE df <= 100 GROUP BY 1),
-            heavy AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY df, term) AS r FROM (SELECT DISTINCT query_id, term, df FROM met WHERE df > 100)),
-            left_in AS (SELECT h.query_id, h.term FROM heavy h LEFT JOIN light USING (query_id) WHERE r = 1 AND coalesce(found, 0) < 50),
-            kept AS (SELECT met.* FROM met WHERE df <= 100 OR (query_id, term) IN (SELECT query_id, term FROM left_in)),
+        "bm25_stopterm_pruned": f"""WITH {BASE}, light AS (SELECT query_id, count(DISTINCT chunk_id) AS found FROM met WHERE df <= 100000 GROUP BY 1),
+            heavy AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY df, term) AS r FROM (SELECT DISTINCT query_id, term, df FROM met WHERE df > 100000)),
+            left_in AS (SELECT h.query_id, h.term FROM heavy h LEFT JOIN light USING (query_id) WHERE r = 1 AND coalesce(found, 0) < 5000),
+            kept AS (SELECT met.* FROM met WHERE df <= 100000 OR (query_id, term) IN (SELECT query_id, term FROM left_in)),
             s AS (SELECT query_id, chunk_id, round(sum(part), 6) AS score FROM kept GROUP BY ALL)
             SELECT * FROM (SELECT *, {RANK_OF.format('score DESC, chunk_id')} FROM s WHERE score > 0) WHERE rank <= 10""",
-        "bm25_incremental_append": f"WITH {BASE} SELECT (SELECT count(*) FROM df) AS terms, (SELECT CAST(sum(df) AS BIGINT) FROM df) AS postings, n AS n_chunks, CAST(total AS BIGINT) AS total_length FROM st",
+        "bm25_incremental_append": f"WITH {BASE} SELECT doc_id, term, tf FROM post",
         "index_merge": f"WITH {BASE} SELECT term, df FROM df",
         "index_upsert": f"""WITH {BASE}, gone AS (SELECT DISTINCT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)),
             p AS (SELECT doc_id, term FROM post WHERE doc_id NOT IN (SELECT doc_id FROM gone) UNION ALL SELECT doc_id, unnest(['replaced', 'text']) FROM gone) SELECT term, count(*) AS df FROM p GROUP BY 1""",
@@ -469,18 +640,36 @@ def oracle_sql() -> dict[str, str]:
             SELECT * FROM (SELECT *, {RANK_OF.format('score DESC, chunk_id')} FROM s) WHERE rank <= 10""",
         "bm25_first_hybrid": f"WITH {FIRST} SELECT query_id, chunk_id, score, vector_score, bm25_score, rank FROM first",
         "rrf_fuse": f"""WITH {BASE}, two AS (SELECT query_id, chunk_id, round(sum(idf * 2.5 * tf / (tf + 1.5)), 6) AS rough, round(sum(part), 6) AS score FROM met GROUP BY ALL),
-            short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rough DESC, chunk_id) AS r FROM two) WHERE r <= 50 AND score > 0),
+            short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rough DESC, chunk_id) AS r FROM two) WHERE r <= 500 AND score > 0),
             b AS (SELECT query_id, chunk_id, {RANK_OF.format('score DESC, chunk_id')} FROM short),
             u AS (SELECT query_id, chunk_id, rank FROM b WHERE rank <= 20 UNION ALL SELECT query_id, chunk_id, rank FROM ranked WHERE rank <= 20),
             f AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY ALL)
             SELECT * FROM (SELECT *, {RANK_OF.format('score DESC, chunk_id')} FROM f) WHERE rank <= 10""",
         "lexical_rerank": f"""WITH {BASE}, o AS (SELECT r.query_id, r.chunk_id, r.score, CAST(count(*) AS DOUBLE) AS rerank_score FROM ranked r JOIN q USING (query_id) JOIN post p ON p.doc_id = r.chunk_id AND p.term = q.term WHERE r.rank <= 20 GROUP BY ALL)
             SELECT * FROM (SELECT *, {RANK_OF.format('rerank_score DESC, score DESC, chunk_id')} FROM o) WHERE rank <= 5""",
-        "adaptive_gate": f"""WITH {FIRST}, g AS (SELECT query_id, max(score) FILTER (rank = 1) AS top_score, coalesce(max(bm25_score) FILTER (rank = 1), 0.0) AS top_bm25,
-            count(*) FILTER (rank <= 3 AND vector_score IS NOT NULL AND bm25_score IS NOT NULL) AS n_agreeing FROM first GROUP BY 1) SELECT *, top_score >= 0.025 AND top_bm25 >= 5.0 AND n_agreeing >= 2 AS fast FROM g""",
-        "decide_route": "SELECT event_id, CASE WHEN value / 100 >= 0.5 THEN 'EXTRACTIVE_ELIGIBLE' WHEN value / 100 >= 0.2 THEN 'LOCAL_ELIGIBLE' WHEN value / 100 >= 0 THEN 'LOCAL_UNCERTAIN' ELSE 'REMOTE_REQUIRED' END AS route FROM events",
+        "adaptive_gate": f"WITH {FIRST}, {GATE} SELECT * FROM gate",
+        "adaptive_route": f"""WITH {FIRST}, {GATE}, {RERANKED} SELECT query_id, chunk_id, rank, 'fast' AS route FROM first JOIN gate USING (query_id) WHERE fast AND rank <= 3
+            UNION ALL SELECT * FROM (SELECT query_id, chunk_id, {RANK_OF.format('rerank_score DESC, score DESC, chunk_id')}, 'quality' FROM o JOIN gate USING (query_id) WHERE NOT fast) WHERE rank <= 3""",
+        "hybrid_rerank": f"WITH {FIRST}, {RERANKED} SELECT * FROM (SELECT query_id, chunk_id, rerank_score, {RANK_OF.format('rerank_score DESC, score DESC, chunk_id')} FROM o WHERE before <= 5) WHERE rank <= 3",
+        "hybrid_dual": f"""WITH {BASE}, {vector_sql('d', 'documents', 'doc_id', 'passage')}, {vector_sql('q', 'benchmark', 'item_id', 'query')},
+            near AS (SELECT i.item_id AS query_id, e.doc_id AS chunk_id, round(coalesce(sum(a.x * b.x), 0.0), 6) + 0.0 AS score FROM benchmark i CROSS JOIN documents e LEFT JOIN v_d a ON a.id = e.doc_id LEFT JOIN v_q b ON b.id = i.item_id AND b.idx = a.idx GROUP BY ALL),
+            vec AS (SELECT * FROM (SELECT query_id, chunk_id, {RANK_OF.format('score DESC, chunk_id')} FROM near) WHERE rank <= 20),
+            u AS (SELECT query_id, chunk_id, rank FROM vec UNION ALL SELECT query_id, chunk_id, rank FROM ranked WHERE rank <= 20),
+            f AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY ALL)
+            SELECT * FROM (SELECT *, {RANK_OF.format('score DESC, chunk_id')} FROM f) WHERE rank <= 10""",
+        "containing_documents": "SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
+        "retrieval_ablation": f"""WITH {FIRST}, {RERANKED.replace('FROM first f JOIN', 'FROM (SELECT * FROM ranked WHERE rank <= 10) f JOIN')},
+            rel AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+            again AS (SELECT query_id, chunk_id, {RANK_OF.format('rerank_score DESC, score DESC, chunk_id')} FROM o),
+            s AS (SELECT query_id, chunk_id, rank, 'bm25' AS system FROM ranked UNION ALL SELECT query_id, chunk_id, rank, 'bm25_first' FROM first UNION ALL SELECT query_id, chunk_id, rank, 'reranked' FROM again),
+            h AS (SELECT system, query_id, min(rank) AS first FROM s JOIN rel USING (query_id, chunk_id) WHERE rank <= 5 GROUP BY ALL),
+            c AS (SELECT DISTINCT system, rel.query_id FROM s, rel)
+            SELECT system, count(*) AS cases, round(avg(CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hit_rate_at_k, round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr_at_k FROM c LEFT JOIN h USING (system, query_id) GROUP BY 1""",
+        "answer_plan": ANSWER,
+        "decide_route": """WITH s AS (SELECT event_id, value / 100 AS v, user_id % 2 = 0 AS f, event_type <> 'view' AS t FROM events)
+            SELECT event_id, CASE WHEN t AND v >= CASE WHEN f THEN 0.015 ELSE 0.5 END THEN 'EXTRACTIVE_ELIGIBLE' WHEN v >= CASE WHEN f THEN 0.005 ELSE 0.2 END THEN 'LOCAL_ELIGIBLE' WHEN v >= 0 THEN 'LOCAL_UNCERTAIN' ELSE 'GROQ_REQUIRED' END AS route FROM s""",
         "input_guardrails": rf"""WITH {ASKED_SQL}, r AS (SELECT query_id, CASE WHEN trim(coalesce(query, '')) = '' THEN 'min_query_length' WHEN length(query) > 200 THEN 'max_query_length'
-            WHEN regexp_matches(query, '(?i)(ignore\s+(all|any|previous)|reveal\s+system\s+prompt|jailbreak)') THEN 'prompt_injection' END AS rule FROM asked) SELECT query_id, rule IS NULL AS passed, rule FROM r""",
+            WHEN regexp_matches(query, '(?i){X.INJECTION}') THEN 'prompt_injection' END AS rule FROM asked) SELECT query_id, rule IS NULL AS passed, rule FROM r""",
         "grounding_overlap": rf"""WITH {BASE}, t AS (SELECT r.query_id, r.chunk_id, b.text AS query, d.text, list_distinct(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}_]+')) AS a, regexp_extract_all(lower(d.text), '[\p{{L}}\p{{N}}_]+') AS s
             FROM ranked r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d ON d.doc_id = r.chunk_id WHERE r.rank = 1),
             o AS (SELECT *, len(list_intersect(a, s)) / greatest(len(a), 1) AS o FROM t) SELECT query_id, chunk_id, round(o, 6) AS overlap, contains(text, trim(query)) OR o >= 0.10 AS grounded FROM o""",
@@ -502,12 +691,46 @@ def oracle_sql() -> dict[str, str]:
             SELECT count(*) AS cases, round(avg(CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hit_rate_at_k, round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr_at_k FROM f WHERE has""",
         "latency_percentiles_linear": "SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1",
         "latency_percentiles_indexed": "SELECT event_type, len(l) AS n, " + ", ".join(f"round(l[least(len(l) - 1, CAST(floor(len(l) * {p} / 100.0) AS INT)) + 1], 2) AS p{p}" for p in (50, 90, 95, 99, 100)) + " FROM (SELECT event_type, list_sort(list(value)) AS l FROM events WHERE value IS NOT NULL GROUP BY 1)",
-        "route_distribution": """WITH r AS (SELECT *, CASE WHEN value / 100 >= 0.5 THEN 'EXTRACTIVE_ELIGIBLE' WHEN value / 100 >= 0.2 THEN 'LOCAL_ELIGIBLE' WHEN value / 100 >= 0 THEN 'LOCAL_UNCERTAIN' ELSE 'REMOTE_REQUIRED' END AS route FROM events)
+        "route_distribution": """WITH r AS (SELECT *, CASE WHEN value / 100 >= 0.5 THEN 'EXTRACTIVE_ELIGIBLE' WHEN value / 100 >= 0.2 THEN 'LOCAL_ELIGIBLE' WHEN value / 100 >= 0 THEN 'LOCAL_UNCERTAIN' ELSE 'GROQ_REQUIRED' END AS route FROM events)
             SELECT route, count(*) AS n, round(min(value), 4) AS min_ms, round(avg(value), 4) AS avg_ms, round(max(value), 4) AS max_ms, round(avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END), 6) AS flagged, round(count(*) / (SELECT count(*) FROM events), 6) AS share FROM r GROUP BY 1""",
-        "refusal_classification": """WITH r AS (SELECT event_type, CASE WHEN user_id % 3 = 0 OR NOT (value > 20) THEN CASE WHEN event_type = 'click' THEN 'A. input guardrail' WHEN user_id % 5 = 0 THEN 'B. no passages' WHEN NOT (value > 20) AND user_id % 3 <> 0 THEN 'C. output grounding'
-            WHEN event_type = 'view' THEN 'D. low confidence' ELSE 'E. other guardrail' END END AS origin FROM events) SELECT event_type, origin, count(*) AS n FROM r WHERE origin IS NOT NULL GROUP BY ALL""",
-        "index_equality": "SELECT CAST(0 AS BIGINT) AS differences",
+        "refusal_classification": f"""WITH r AS (SELECT event_type, CASE WHEN user_id % 3 = 0 OR NOT (value > 20) THEN CASE WHEN event_type = 'click' THEN '{routing.REFUSALS[0]}' WHEN user_id % 5 = 0 THEN '{routing.REFUSALS[1]}' WHEN NOT (value > 20) AND user_id % 3 <> 0 THEN '{routing.REFUSALS[2]}'
+            WHEN event_type = 'view' THEN '{routing.REFUSALS[3]}' ELSE '{routing.REFUSALS[4]}' END END AS origin FROM events) SELECT event_type, origin, count(*) AS n FROM r WHERE origin IS NOT NULL GROUP BY ALL""",
+        "index_equality": f"WITH {BASE} SELECT count(*) AS compared, CAST(0 AS BIGINT) AS differences FROM ranked WHERE rank <= 5",
         "normalize_passages": f"""SELECT CAST(conv_id AS VARCHAR) AS query_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS INT) AS passage_index, {CLEAN.format('text')} AS text, 'eng_Latn' AS language, 'english_fallback' AS text_source FROM conversations WHERE {CLEAN.format('text')} IS NOT NULL""",
-        "streaming_ingest": f"WITH {BASE} SELECT n AS n_chunks, CAST(total AS BIGINT) AS total_length FROM st",
+        "streaming_ingest": f"WITH {BASE} SELECT doc_id, term, tf FROM post",
+        "load_documents": f"WITH {PASSAGES} SELECT document_id, CAST(conv_id AS VARCHAR) AS query_id, passage_index FROM kept",
+        "load_statistics": f"""WITH {PASSAGES} SELECT (SELECT count(DISTINCT conv_id) FROM turns) AS records_read, CAST(0 AS BIGINT) AS malformed_records, (SELECT count(*) FROM kept) AS documents_created,
+            (SELECT count(*) FROM turns WHERE text IS NULL) AS empty_passages_removed, (SELECT count(*) FROM docs) - (SELECT count(*) FROM kept) AS duplicate_documents_removed""",
+        "selected_documents": f"WITH {PASSAGES} SELECT CAST(conv_id AS VARCHAR) AS query_id, text FROM docs WHERE passage_index = 1",
+        "relevance_cases": f"""WITH {PASSAGES}, c AS (SELECT DISTINCT t.text, d.document_id FROM docs d JOIN turns t USING (conv_id) WHERE d.passage_index = 1 AND t.passage_index = 0 AND t.text IS NOT NULL)
+            SELECT sha256(text) AS query_sha256, string_agg(document_id, ',' ORDER BY document_id) AS chunk_ids FROM c GROUP BY text""",
+        "chunk_provenance": f"""WITH {PASSAGES} SELECT document_id, document_id AS parent_chunk_id, CAST(0 AS INT) AS chunk_index, 'eng_Latn' AS language, CAST(conv_id AS VARCHAR) AS query_id, 'conversations' AS dataset_name, 'validation' AS split,
+            CAST(passage_index AS VARCHAR) AS passage_index, 'english_fallback' AS text_source, document_id AS origin FROM docs""",
+        "chunk_validation": f"""WITH {FIXED_SQL}, x AS (SELECT *, CAST(document_id AS BIGINT) % 10 AS m FROM fixed)
+            SELECT unnest(['text', 'chunk_id', 'document_id', 'strategy', 'deterministic', 'source', 'contiguous', 'unique']) AS rule,
+              unnest([0, 0, 0, 0, (SELECT count(*) FROM x WHERE m = 1), 0, (SELECT count(DISTINCT document_id) FROM x WHERE m = 0 AND chunk_index > 0) + (SELECT count(DISTINCT document_id) FROM x WHERE document_id = '12'), (SELECT count(*) FROM x WHERE document_id = '12')]) AS n""",
+        "chunk_payload": f"""WITH {FIXED_SQL} SELECT document_id, chunk_index, document_id AS parent_chunk_id, d.lang AS language, 'fixed' AS chunk_strategy, CAST(NULL AS VARCHAR) AS dataset_name, sha256(f.text) AS text_sha256
+            FROM fixed f JOIN documents d ON CAST(d.doc_id AS VARCHAR) = f.document_id""",
+        "vector_upsert": "SELECT vec_id, CAST(len(embedding) AS INT) AS dim, round(CAST(CASE WHEN vec_id % 10 = 0 THEN -embedding[1] ELSE embedding[1] END AS DOUBLE), 6) AS first FROM embeddings",
+        "metrics_snapshot": "WITH e AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN 'refused' ELSE 'answered' END AS status, CASE WHEN event_type = 'click' THEN value ELSE 0.0 END AS part FROM events), "
+            "l AS (SELECT 'total' AS name, list_sort(list(value)) AS l FROM e WHERE value IS NOT NULL UNION ALL SELECT 'retrieval', list_sort(list(part)) FROM e WHERE part > 0), "
+            "n AS (SELECT NULL::DOUBLE AS min, NULL::DOUBLE AS p50, NULL::DOUBLE AS p90, NULL::DOUBLE AS p95, NULL::DOUBLE AS p99, NULL::DOUBLE AS p100, NULL::DOUBLE AS avg), "
+            "f AS (SELECT value, row_number() OVER (ORDER BY event_id) AS r FROM events) "
+            "SELECT 'status' AS kind, status AS name, count(*) AS n, n.* FROM e, n GROUP BY ALL UNION ALL SELECT 'route', event_type, count(*), n.* FROM e, n WHERE event_type IS NOT NULL GROUP BY ALL "
+            "UNION ALL SELECT 'latency', name, len(l), round(l[1], 2), " + ", ".join(f"round(l[least(len(l) - 1, CAST(floor(len(l) * {p} / 100.0) AS INT)) + 1], 2)" for p in (50, 90, 95, 99)) + ", round(l[len(l)], 2), round(list_avg(l), 2) FROM l "
+            "UNION ALL SELECT CASE r WHEN 1 THEN 'first' ELSE 'second' END, 'total', 1, round(value, 2), p50, p90, p95, p99, p100, avg FROM f, n WHERE r <= 2",
+        "language_report": """WITH a AS (SELECT event_type, list_sort(list(value)) AS l FROM events WHERE user_id % 3 <> 0 AND value IS NOT NULL GROUP BY 1)
+            SELECT e.event_type AS language, count(*) AS n, count(*) FILTER (user_id % 3 <> 0) AS answered, count(*) FILTER (user_id % 2 = 0) AS grounded, count(*) FILTER (user_id % 5 = 0) AS translated,
+            coalesce(any_value(l[len(l) // 2 + 1]), 0.0) AS p50, coalesce(any_value(l[least(len(l) - 1, CAST(floor(CAST(len(l) AS DOUBLE) * CAST(0.95 AS DOUBLE)) AS INT)) + 1]), 0.0) AS p95 FROM events e LEFT JOIN a USING (event_type) GROUP BY 1""",
+        "display_helpers": r"""WITH e AS (SELECT *, value * 60 AS s, value * value * value * 40 AS b FROM events)
+            SELECT event_id, CASE WHEN s IS NULL OR s <= 0 THEN '0s' WHEN s < 60 THEN printf('%.0f', s) || 's' WHEN s < 3600 THEN CAST(floor(s / 60) AS BIGINT) || 'm ' || CAST(floor(s % 60) AS BIGINT) || 's' ELSE CAST(floor(s / 3600) AS BIGINT) || 'h ' || CAST(floor((s % 3600) / 60) AS BIGINT) || 'm' END AS left,
+            CASE WHEN abs(b) < 1024 THEN printf('%.1f', b) || ' B' WHEN abs(b) < 1048576 THEN printf('%.1f', b / 1024) || ' KB' WHEN abs(b) < 1073741824 THEN printf('%.1f', b / 1048576) || ' MB' WHEN b IS NOT NULL THEN printf('%.1f', b / 1073741824) || ' GB' END AS size,
+            substr(replace(props, '"k"', '<redacted>'), 1, 500) AS props FROM e""",
+        "file_languages": "SELECT DISTINCT stem, CASE WHEN stem LIKE 'es%' THEN 'Tamil (தமிழ்)' ELSE upper(stem[1]) || lower(stem[2:]) END AS name FROM (SELECT lang || source AS stem FROM documents)",
+        "english_queries": f"WITH {DETECT} SELECT query_id, code = 'en' AS english FROM lang",
+        "row_index_scan": "SELECT doc_id, row_index FROM (SELECT doc_id, row_number() OVER () - 1 AS row_index FROM documents) WHERE row_index > 99",
+        "json_migration": f"WITH {BASE} SELECT term, count(*) AS df FROM post JOIN documents USING (doc_id) WHERE lang = 'es' GROUP BY 1",
+        "embedding_cache": """WITH t AS (SELECT coalesce(text, '') AS k, count(*) AS n, coalesce(bool_or(lang = 'de'), false) AS h FROM documents GROUP BY 1), s AS (SELECT CAST(sum(n) AS BIGINT) AS requests, count(*) AS texts, CAST(sum(CASE WHEN h THEN n ELSE n - 1 END) AS BIGINT) AS hits FROM t)
+            SELECT *, requests - hits AS misses, round(hits / greatest(requests, 1), 6) AS hit_rate FROM s""",
     }
     return out
