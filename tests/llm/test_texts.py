@@ -203,9 +203,10 @@ def test_word_coder():
 
     path = tokenizers.path("word_bpe_49k.json")
     coder, plain = token_files.WordCoder(open(path, "rb").read()), Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rng = random.Random(3)
+    signs = ["Word", "wörd", "ÄÖ", "µ", "x1", ", ", ". ", ".\n", ",", ".", "! ", "'s ", "_", "$", "ß", "<|endoftext|>", "<|ENDOFTEXT|>", "\x85", "\xa0", "²", "İ", "Σ "]
     texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["word, Word. " * 50, "z" * 500]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 8))) for _ in range(6000)]
     for t, ids in zip(texts, coder.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 

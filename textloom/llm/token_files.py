@@ -20,6 +20,7 @@ import itertools
 import operator
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -39,9 +40,29 @@ _SKIP_TABLE, _SKIP_INDEX, _SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 _CHUNK_CHARS, _CACHE_ENTRIES, _CACHED_CHARS = 1 << 20, 1 << 19, 64
 #: Signs that may follow a word; none begins or continues a contraction.
 _SIGNS = ".,!?;:$%&*#|"
+#: Of the first 256 code points, those that are no letter, number or white space.
+_SIGN = np.array([unicodedata.category(c := chr(i))[0] not in "LN" and not (c.isspace() and i not in range(0x1C, 0x20)) for i in range(256)])
 _UNSIGNED = operator.methodcaller("rstrip", _SIGNS)
 
 
+def _eased(text: str) -> str:
+    """A text with the same ids and fewer different words: lower case, and commas and stops apart, where that is safe.
+
+    The vocabulary's normaliser lowers all but special tokens, and for Latin-1 as Python does. A sign that stands alone
+    is a piece of its own; where two signs meet, they are one piece and the text is only lowered.
+    """
+    if "<|" in text:
+        return text
+    try:
+        sign = _SIGN[np.frombuffer(text.encode("latin-1"), np.uint8)]
+    except UnicodeEncodeError:
+        return text
+    text = text.lower()
+    if (sign[1:] & sign[:-1]).any():
+        return text
+    return text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+
+
 class _Either(dict):
     """A dictionary that asks another for what it lacks."""
 
@@ -116,7 +137,7 @@ class WordCoder:
             while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= _CHUNK_CHARS):
                 chars += len(texts[stop])
                 stop += 1
-            split = [t.replace("\n", " ").split(" ") for t in texts[at:stop]]
+            split = [_eased(t).replace("\n", " ").split(" ") for t in texts[at:stop]]
             if len(self.cache) > _CACHE_ENTRIES:
                 self.cache = {"": b""}
             new = list(set(itertools.chain.from_iterable(split)).difference(self.cache))
