@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm import byte_bpe, cross_entropy, jaccard_join, packing, pii, quality, spotsigs, token_files, toxicity
 from textloom.llm.common import table
@@ -43,7 +44,8 @@ def op6_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(table(spark, sf_dir, "documents"))
+    out = packing.best_fit(table(spark, sf_dir, "documents"), model_path=vocabulary("word_bpe_49k.json"))
+    return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
