@@ -95,21 +95,26 @@ def best_packing(lengths: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarra
 
 
 def _pieces_of_ids(docs: DataFrame, model_path: str, end_id: int, top: int) -> DataFrame:
-    """doc_id, piece, start, n_tokens and ids (little-endian unsigned 32-bit) of each piece of up to top tokens of docs (doc_id, text)."""
+    """doc_id, piece, start, n_tokens and ids of each piece of up to top tokens of docs (doc_id, text).
+
+    ids are little-endian unsigned integers of 16 bits each where the vocabulary and end_id fit in them, else of 32:
+    the bytes of ids, over n_tokens, tell which.
+    """
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(open(model_path, "rb").read())
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(model.value)
+        kind = np.dtype("<u2" if max(len(coder.closes), end_id + 1) <= 1 << 16 else "<u4")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                raw = [x + end for x in coder.encode([t or "" for t in part.column(1).to_pylist()])]
-                cuts = [(i, k, x[a : a + 4 * top]) for i, x in enumerate(raw) for k, a in enumerate(range(0, len(x), 4 * top))]
+                raw = [np.frombuffer(x + end, "<u4").astype(kind) for x in coder.encode([t or "" for t in part.column(1).to_pylist()])]
+                cuts = [(i, k, x[a : a + top].tobytes()) for i, x in enumerate(raw) for k, a in enumerate(range(0, len(x), top))]
                 row, piece, ids = zip(*cuts, strict=True)
                 piece = np.array(piece, np.int64)
-                out = part.column(0).take(pa.array(row)), pa.array(piece), pa.array(piece * top), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())
+                out = part.column(0).take(pa.array(row)), pa.array(piece), pa.array(piece * top), pa.array([len(x) // kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())
                 yield pa.RecordBatch.from_arrays(list(out), ["doc_id", "piece", "start", "n_tokens", "ids"])
 
     return docs.mapInArrow(run, "doc_id long, piece long, start long, n_tokens long, ids binary")
@@ -163,6 +168,9 @@ def best_fit(
         order, position = np.argsort(where, kind="stable"), np.empty(len(where), np.int64)
         begins = np.searchsorted(where[order], where[order])
         position[order] = np.arange(len(where)) - begins
+        if "ids" in own:
+            held = zip(t["ids"].to_pylist(), t["n_tokens"].to_pylist(), strict=True)
+            t = t.set_column(t.schema.get_field_index("ids"), "ids", pa.array([np.frombuffer(x, f"<u{len(x) // n}").astype("<u4").tobytes() for x, n in held], pa.binary()))
         shard = np.int64(t["shard"][0].as_py()) << np.int64(32)
         return pa.table([pa.array(shard + where), pa.array(caps[where]), pa.array(used[where]), pa.array(position), *(t[c] for c in own)], names=["bin_id", "capacity", "bin_tokens", "position", *own])
 
