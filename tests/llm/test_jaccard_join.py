@@ -77,7 +77,7 @@ def test_a_region_gives_fewer_links_than_it_has_members():
     rng = np.random.default_rng(3)
     base = np.arange(100)
     sets = [np.unique(np.concatenate((rng.choice(base, 88, replace=False), rng.integers(1000, 1100, 4)))).astype(np.uint64) for _ in range(200)]
-    a, b = (np.concatenate(x).tolist() for x in zip(*J.Region(list(range(200)), [s.tobytes() for s in sets], 8, 10).links(), strict=True))
+    a, b = (np.concatenate(x).tolist() for x in zip(*J.Region(list(range(200)), sets, 8, 10).links(), strict=True))
     assert 0 < len(a) < 200
 
     def parts(edges):
@@ -88,3 +88,11 @@ def test_a_region_gives_fewer_links_than_it_has_members():
 
     like = lambda x, y: 10 * len(np.intersect1d(x, y)) >= 8 * len(np.union1d(x, y))
     assert parts(zip(a, b, strict=True)) == parts([(i, j) for i in range(200) for j in range(i) if like(sets[i], sets[j])])
+
+
+def test_repeated_ids_with_texts_that_have_no_words(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (1, " "), (1, None), (2, " ".join([*words[:59], "other"])), (2, ""), (3, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in J.jaccard_classes(df, n=2, num=8, den=10).collect()}
+    assert got == {(1, 59): 1, (1, 0): 1, (2, 59): 1, (2, 0): 2, (3, 0): 3}

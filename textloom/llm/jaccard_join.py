@@ -179,26 +179,24 @@ def _cells(points: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """docs (doc_id, text, regions): a row for each of a document's regions with its set (sorted hashes as bytes)."""
+    """doc_id and set (sorted hashes as bytes) of each of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for batch in batches:
             for at in range(0, batch.num_rows, _ROW_SETS):
                 part = batch.slice(at, _ROW_SETS)
-                at_doc = part.column(2).value_parent_indices()
                 raw = pa.array([shingle(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(2).flatten(), part.column(0).take(at_doc), raw.take(at_doc)], ["p", "doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), raw], ["doc_id", "set"])
 
-    return docs.mapInArrow(run, "p long, doc_id long, set binary")
+    return docs.mapInArrow(run, "doc_id long, set binary").filter("octet_length(set) > 0")
 
 
 class Region:
     """Sets of a region as one array of codes."""
 
-    def __init__(self, ids: list[int], raw: list[bytes], num: int, den: int):
+    def __init__(self, ids: list[int], sets: list[np.ndarray], num: int, den: int):
         self.ids, self.num, self.den = np.array(ids, np.int64), num, den
-        sets = [np.frombuffer(x, _U) for x in raw]
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
         vocabulary, codes = np.unique(np.concatenate(sets), return_inverse=True)
@@ -244,27 +242,35 @@ class Region:
             p, here = far[0], np.concatenate((far, window))
 
 
-def _joined(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links of each region in rows (region string, pivot boolean, doc_id, set); a region's rows stream by, the pivot's first."""
+def _joined(rows: DataFrame, num: int, den: int, n: int | None = None) -> DataFrame:
+    """Links of each region in rows (region string, pivot boolean, doc_id, body); a region's rows stream by, the pivot's first.
 
-    def links(ids: list[int], raw: list[bytes]) -> Iterator[pa.RecordBatch]:
-        found = list(Region(ids, raw, num, den).links()) if len(ids) > 1 else []
+    body is a set as bytes, or with n a text: that is smaller, as hashes don't compress, and its shingles are made here.
+    Rows without shingles (of an id that also has a text with some) are left out.
+    """
+
+    def links(ids: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found = list(Region(ids, sets, num, den).links()) if len(ids) > 1 else []
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, raw = None, [], []
+        made = Shingler(n) if n else lambda x: np.frombuffer(x, _U)
+        key, ids, sets = None, [], []
         for batch in batches:
-            for region, doc_id, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if region != key:
-                    yield from links(ids, raw)
-                    key, ids, raw = region, [], []
-                ids.append(doc_id)
-                raw.append(x)
-        yield from links(ids, raw)
+            for at in range(0, batch.num_rows, _ROW_SETS):
+                part = batch.slice(at, _ROW_SETS)
+                for region, doc_id, x in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    if region != key:
+                        yield from links(ids, sets)
+                        key, ids, sets = region, [], []
+                    if len(s := made(x)):
+                        ids.append(doc_id)
+                        sets.append(s)
+        yield from links(ids, sets)
 
     placed = rows.repartition(shuffle_width(rows.sparkSession), "region").sortWithinPartitions("region", F.desc("pivot"), "doc_id")
-    return placed.select("region", "doc_id", "set").mapInArrow(run, "a long, b long")
+    return placed.select("region", "doc_id", "body").mapInArrow(run, "a long, b long")
 
 
 def _large(pairs: DataFrame, sets: DataFrame, num: int, den: int, limit: int, block: int) -> DataFrame:
@@ -300,7 +306,7 @@ def _large(pairs: DataFrame, sets: DataFrame, num: int, den: int, limit: int, bl
     up = F.when(F.col("next_blocks").isNull(), F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("next_blocks") - 1), lambda j: F.concat_ws(":", "p", "ring", "k", F.col("ring") + 1, j)))
     down = F.when(F.col("last_blocks").isNull(), F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("last_blocks") - 1), lambda j: F.concat_ws(":", "p", F.col("ring") - 1, j, "ring", "k")))
     blocked = dealt.select(F.explode(F.array_distinct(F.concat(inside, up, down))).alias("region"), "x")
-    rows = small.unionByName(blocked).join(own, "x").select("region", F.lit(False).alias("pivot"), F.col("x").alias("doc_id"), "set")
+    rows = small.unionByName(blocked).join(own, "x").select("region", F.lit(False).alias("pivot"), F.col("x").alias("doc_id"), F.col("set").alias("body"))
     return star.unionByName(_joined(rows, num, den))
 
 
@@ -335,14 +341,14 @@ def jaccard_classes(
     sizes = pairs.groupBy("p").agg((F.sum("n") + F.max("m")).alias("total"))
     members = pairs.select("p", "x").unionByName(sizes.select("p", F.col("p").alias("x")))
     members = staged(members.join(sizes, "p").withColumn("large", F.col("total") > region_shingles), "members")
-    # a set is made once from its text and sent once to each of its regions
+    # a text goes once to each of its regions
     homes = members.filter("NOT large").groupBy(F.col("x").alias("doc_id")).agg(F.collect_list("p").alias("regions"))
-    rows = _sets(texts.join(homes.hint("merge"), "doc_id"), n)
-    links = _joined(rows.select(F.col("p").cast("string").alias("region"), (F.col("p") == F.col("doc_id")).alias("pivot"), "doc_id", "set"), num, den)
+    sent = texts.join(homes.hint("merge"), "doc_id").select(F.explode("regions").alias("p"), "doc_id", F.col("text").alias("body"))
+    links = _joined(sent.select(F.col("p").cast("string").alias("region"), (F.col("p") == F.col("doc_id")).alias("pivot"), "doc_id", "body"), num, den, n)
     far = members.filter("large").select("p", "x")
     if not far.isEmpty():
-        own = far.select(F.col("x").alias("doc_id")).distinct().withColumn("regions", F.array(F.lit(0).cast("long")))
-        sets = staged(_sets(texts.join(own.hint("merge"), "doc_id"), n).drop("p"), "sets")
+        own = far.select(F.col("x").alias("doc_id")).distinct()
+        sets = staged(_sets(texts.join(own.hint("merge"), "doc_id"), n), "sets")
         links = links.unionByName(_large(far, sets, num, den, region_shingles, block_shingles))
     found = components(links)
     labelled = classes.join(found, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component"))
