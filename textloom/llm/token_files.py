@@ -116,6 +116,12 @@ class WordCoder:
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of unknown words."""
+        plain = list(map(operator.and_, map(str.isalpha, new), map(operator.eq, map(str.lower, new), new)))
+        together = list(itertools.compress(new, plain))
+        got = dict(zip(together, self._together(together), strict=True))
+        new = list(itertools.compress(new, map(operator.not_, plain)))
+        if not new:
+            return got
         cores = list(map(_UNSIGNED, new))
         low = list(map(str.lower, cores))
         letters = list(map(str.isalpha, low))
@@ -123,12 +129,12 @@ class WordCoder:
         keys = [(x if x.isascii() else c) if y else w for x, c, y, w in zip(low, cores, letters, new, strict=True)]
         tails = [w[len(c) :] if y else "" for w, c, y in zip(new, cores, letters, strict=True)]
         known = self.cache
-        together = list(set(itertools.compress(keys, letters)).difference(known))
+        together = [w for w in set(itertools.compress(keys, letters)).difference(known) if w not in got]
         apart = list(set(itertools.compress(keys, map(operator.not_, letters))).union(tails).difference(known))
-        got = dict(zip(together, self._together(together), strict=True)) | dict(zip(apart, self._apart(apart), strict=True))
+        got |= dict(zip(together, self._together(together), strict=True)) | dict(zip(apart, self._apart(apart), strict=True))
         find = _Either(got, known).__getitem__
-        out = dict(zip(new, map(bytes.__add__, map(find, keys), map(find, tails)), strict=True))
-        return got | out
+        got |= dict(zip(new, map(bytes.__add__, map(find, keys), map(find, tails)), strict=True))
+        return got
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
