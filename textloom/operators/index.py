@@ -90,6 +90,7 @@ def append_new(path: str, chunks: DataFrame, *, id_col: str = "chunk_id", text_c
     draft = f"{path}/segments/_new-{uuid.uuid4().hex}"
     new.write.parquet(draft)
     name = _segment(build(spark.read.schema(new.schema).parquet(draft), id_col=id_col, text_col=text_col, tokenizer=tokenizer), path)
+    store.remove(spark, draft)
     count = store.get(spark, path, "corpus_stats", [name]).first()["n_chunks"]
     if count or at < 0:
         live = [*(store.segments(spark, path) or []), name]

@@ -81,11 +81,16 @@ def get(spark: SparkSession, path: str, label: str, of: list[str] | None = None)
     return spark.read.option("mergeSchema", str(len(live) > 1).lower()).parquet(*[f"{path}/segments/{s}/{label}" for s in live])
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads."""
+    fs, folder = _fs(spark, path)
+    fs.delete(folder, True)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove the store and all it holds."""
-    fs, folder = _fs(spark, path)
     for name in ("commits", "segments"):
-        fs.delete(_fs(spark, f"{path}/{name}")[1], True)
+        remove(spark, f"{path}/{name}")
 
 
 def vacuum(spark: SparkSession, path: str) -> int:
