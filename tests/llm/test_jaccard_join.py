@@ -96,3 +96,33 @@ def test_repeated_ids_with_texts_that_have_no_words(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in J.jaccard_classes(df, n=2, num=8, den=10).collect()}
     assert got == {(1, 59): 1, (1, 0): 1, (2, 59): 1, (2, 0): 2, (3, 0): 3}
+
+
+def test_profiles_part_what_cannot_link():
+    rng = np.random.default_rng(4)
+    sets = []
+    for size in (1, 5, 30, 130, 300, 900):
+        for _ in range(6):
+            own = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+            sets += [np.unique(np.concatenate((own[: size - cut], rng.integers(0, 1 << 64, cut, dtype=np.uint64)))) for cut in (0, size // 20, size // 9, size // 7, size // 2)]
+    sets.sort(key=len)
+    part = J.alike(np.array([len(s) for s in sets]), [J.profile(s) for s in sets], 8, 10)
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(np.intersect1d(sets[i], sets[j])) >= 8 * len(np.union1d(sets[i], sets[j]))]
+    assert len(linked) > 30 and all(part[i] == part[j] for i, j in linked)
+    assert len(np.unique(part)) >= 36  # no two of the 36 texts that have nothing in common
+
+
+def test_texts_that_meet_by_chance_are_not_sent(spark, monkeypatch):
+    # 400 texts share one five-word line and nothing else; ten have a near copy each
+    rng, line = random.Random(6), "under the terms of licence"
+    own = [[f"w{rng.randrange(10**6)}" for _ in range(90)] for _ in range(400)]
+    data = [(i, f"{line} {' '.join(w)}") for i, w in enumerate(own)] + [(1000 + i, f"{line} {' '.join(w[:-1])} other") for i, w in enumerate(own[:10])]
+    sent, joined = [], J._joined
+    monkeypatch.setattr(J, "_joined", lambda rows, *a: sent.append(rows.count()) or joined(rows, *a))
+    monkeypatch.setattr(J, "_large", None)  # the line's region is over the limit, its parts are not
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for options in ({}, {"block_buckets": 1 << 10}):
+        sent.clear()
+        got = {r["doc_id"]: r["component_id"] for r in J.jaccard_classes(df, region_shingles=1000, **options).collect()}
+        assert got == {i: i % 1000 for i, _ in data}
+        assert sent == [20]

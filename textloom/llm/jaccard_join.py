@@ -6,7 +6,13 @@ what they split. They are therefore seeded without loss. Sets x and y of sizes n
 t differ in at most k = floor((1-t)/(1+t) * (n+m)) shingles. The space of shingle hashes is cut into more than k
 ranges; x and y then agree on one of the first k + 1 ranges that either fills (each range that differs costs one
 of the k). Sets that agree on a range share a cell; the cell's least document is its pivot, and all cells of a
-pivot are its region. Each linked pair lies in one region. A region is then joined exactly:
+pivot are its region. Each linked pair lies in one region.
+
+Texts also meet by chance, in cells of a single common shingle, and ever more of them the larger the corpus is. So
+before any text is sent, a region is split by its members' profiles, the counts of their shingles in buckets: the
+sum of differences of two profiles is at most the number of shingles in which the sets differ. Members that this
+bound lets link, directly or over others, stay together, under the least of them as their pivot; a member that can
+link with no other is dropped. No link is lost by it. A region is then joined exactly:
 
 1. distances to the pivot; members within the radius link to it, so they are connected among themselves;
 2. others (Z) can link only to others or to members in a window: d(y,p) >= min d(z,p) - radius. Z and the
@@ -36,6 +42,7 @@ _U = np.uint64
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], _U)
 _CACHE_WORDS, _SEEN_SETS = 1 << 18, 1 << 16
 _ROW_SETS, _REGION_SHINGLES, _BLOCK_SHINGLES = 512, 1 << 20, 1 << 18
+_BUCKET_SHINGLES, _LEAST_BUCKETS, _BLOCK_BUCKETS = 8, 32, 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -111,15 +118,50 @@ class Cells:
         return np.concatenate(keys) if keys else np.zeros(0, _U)
 
 
+def buckets(n: int) -> int:
+    """Buckets of the profile of a set of n shingles: a power of two, which never falls as n grows."""
+    return max(_LEAST_BUCKETS, 1 << max(0, -(-n // _BUCKET_SHINGLES) - 1).bit_length())
+
+
+def profile(s: np.ndarray) -> np.ndarray:
+    """How many shingles of a set lie in each bucket of the hash space; 255 stands for more."""
+    b = buckets(len(s))
+    return np.minimum(np.bincount((s >> _U(65 - b.bit_length())).astype(np.int64), minlength=b), 255).astype(np.uint8)
+
+
+def alike(sizes: np.ndarray, profiles: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """A part for each set, given in ascending order of size: sets whose profiles permit a link are in one part.
+
+    Sets of similarity num/den or more differ in at most (den-num)/(den+num) of their sizes' sum, and the sum of
+    differences of two profiles never exceeds that number, nor does it where buckets are put together or counts cut.
+    """
+    count = len(sizes)
+    part, ends = np.arange(count), np.searchsorted(sizes * num, sizes * den, "right")
+    widths = np.array([len(x) for x in profiles])
+    for width in np.unique(widths).tolist():
+        low, high = np.searchsorted(widths, [width, width + 1]).tolist()
+        rows = np.stack([x.reshape(width, -1).sum(axis=1, dtype=np.int32) for x in profiles[low : int(ends[high - 1])]])
+        step = max(1, _BLOCK_BUCKETS // width)
+        for i in range(low, high):
+            others = i + 1 + np.flatnonzero(part[i + 1 : ends[i]] != part[i])
+            for at in range(0, len(others), step):
+                some = others[at : at + step]
+                apart = np.abs(rows[some - low] - rows[i - low]).sum(axis=1)
+                near = some[apart * (den + num) <= (den - num) * (sizes[some] + sizes[i])]
+                if len(near):
+                    part[np.isin(part, part[near])] = part[i]
+    return part
+
+
 def _sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (digest of the set), keys (none where doc_id is null or this task has already given the set's)."""
+    """doc_id, n_shingles, d1, d2 (digest of the set), profile, keys (none where doc_id is null or this task has already given the set's)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, cells, seen = Shingler(n), Cells(num, den), set()
         for batch in batches:
             for at in range(0, batch.num_rows, _ROW_SETS):
                 part = batch.slice(at, _ROW_SETS)
-                sizes, digests, flat, cuts = [], [], [], [0]
+                sizes, digests, profiles, flat, cuts = [], [], [], [], [0]
                 for known, text in zip(part.column(0).is_valid().to_pylist(), part.column(1).to_pylist(), strict=True):
                     s = shingle(text)
                     digest = (len(s), int(mixed(s + _WEIGHTS[0]).sum(dtype=_U)), int(mixed(s + _WEIGHTS[1]).sum(dtype=_U)))
@@ -134,12 +176,13 @@ def _sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                         cuts.append(cuts[-1])
                     sizes.append(len(s))
                     digests.append(digest[1:])
+                    profiles.append(profile(s).tobytes() if known and len(s) else None)
                 keys = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
                 d = np.array(digests, _U).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists], ["doc_id", "n_shingles", "d1", "d2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(profiles, pa.binary()), lists], ["doc_id", "n_shingles", "d1", "d2", "profile", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, profile binary, keys array<long>")
 
 
 def _cells(points: DataFrame) -> DataFrame:
@@ -178,6 +221,43 @@ def _cells(points: DataFrame) -> DataFrame:
     return met.select(F.when(F.col("head").isNull(), F.col("p")).otherwise(F.least("least", "p")).alias("p"), "doc_id").filter("p <> doc_id").distinct()
 
 
+def _split(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """(p, x): the parts of two or more that alike makes of each region in members (p, x, n, profile), under their least x.
+
+    A region whose profiles have more than block buckets is compared block against block.
+    """
+
+    def parts(ids: list[int], sizes: list[int], raw: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if len(ids) < 2:
+            return
+        part = alike(np.array(sizes, np.int64), [np.frombuffer(x, np.uint8) for x in raw], num, den)
+        _, of, held = np.unique(part, return_inverse=True, return_counts=True)
+        x = np.array(ids, np.int64)
+        least = np.full(len(held), np.iinfo(np.int64).max)
+        np.minimum.at(least, of, x)
+        if (use := held[of] > 1).any():
+            yield pa.RecordBatch.from_arrays([pa.array(least[of][use]), pa.array(x[use])], ["p", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sizes, raw = None, [], [], []
+        for batch in batches:
+            for region, x, n, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if region != key:
+                    yield from parts(ids, sizes, raw)
+                    key, ids, sizes, raw = region, [], [], []
+                ids.append(x)
+                sizes.append(n)
+                raw.append(own)
+        yield from parts(ids, sizes, raw)
+
+    blocks = members.groupBy("p").agg(F.ceil(F.sum(F.greatest(F.lit(_LEAST_BUCKETS), F.col("n") * 2 / _BUCKET_SHINGLES)) / block).cast("int").alias("blocks"))
+    k = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")
+    regions = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws(":", "p", F.least(k, j), F.greatest(k, j)))
+    dealt = members.join(blocks, "p").select(F.explode(regions).alias("region"), "x", "n", "profile")
+    placed = dealt.repartition(shuffle_width(members.sparkSession), "region").sortWithinPartitions("region", "n")
+    return placed.mapInArrow(run, "p long, x long").distinct()
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     """doc_id and set (sorted hashes as bytes) of each of docs (doc_id, text)."""
 
@@ -311,7 +391,7 @@ def _large(pairs: DataFrame, sets: DataFrame, num: int, den: int, limit: int, bl
 
 
 def jaccard_classes(
-    docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", region_shingles: int = _REGION_SHINGLES, block_shingles: int = _BLOCK_SHINGLES
+    docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", region_shingles: int = _REGION_SHINGLES, block_shingles: int = _BLOCK_SHINGLES, block_buckets: int = _BLOCK_BUCKETS
 ) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, the smallest doc_id reachable by links.
 
@@ -326,20 +406,23 @@ def jaccard_classes(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = staged(_sketches(texts, n, num, den), "sketches")
     points = sketch.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = staged(points.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = staged(points.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("profile").alias("profile")), "classes")
     same = ["d1", "d2", "n_shingles"]
-    reps = points.join(classes, same).select("doc_id", "rep", "n_shingles").distinct()
+    reps = points.join(classes, same).select("doc_id", "rep").distinct()
     met = staged(_cells(points), "met")
     pairs = (
-        met.join(reps.select("doc_id", F.col("rep").alias("x"), F.col("n_shingles").alias("n")), "doc_id")
-        .join(reps.select(F.col("doc_id").alias("p"), F.col("rep").alias("q"), F.col("n_shingles").alias("m")), "p")
+        met.join(reps.select("doc_id", F.col("rep").alias("x")), "doc_id")
+        .join(reps.select(F.col("doc_id").alias("p"), F.col("rep").alias("q")), "p")
         .filter("q <> x")
-        .select(F.col("q").alias("p"), "x", "n", "m")
+        .select(F.col("q").alias("p"), "x")
         .distinct()
     )
     pairs = staged(pairs, "regions")
-    sizes = pairs.groupBy("p").agg((F.sum("n") + F.max("m")).alias("total"))
-    members = pairs.select("p", "x").unionByName(sizes.select("p", F.col("p").alias("x")))
+    members = pairs.unionByName(pairs.select("p", F.col("p").alias("x")).distinct())
+    members = members.join(classes.select(F.col("rep").alias("x"), F.col("n_shingles").alias("n"), "profile"), "x")
+    members = staged(_split(members, num, den, block_buckets), "parts")
+    held = classes.groupBy(F.col("rep").alias("x")).agg(F.sum("n_shingles").alias("n"))
+    sizes = members.join(held, "x").groupBy("p").agg(F.sum("n").alias("total"))
     members = staged(members.join(sizes, "p").withColumn("large", F.col("total") > region_shingles), "members")
     # a text goes once to each of its regions
     homes = members.filter("NOT large").groupBy(F.col("x").alias("doc_id")).agg(F.collect_list("p").alias("regions"))
