@@ -73,7 +73,7 @@ def answer_queries(
     met = each.join(best, "query_id", "left").join(routing.context(found, top_k), "query_id", "left")
     way = routing.decide_route(F.col("score"), thresholds, fast=F.col("retrieval_route") == "fast", text=F.col("text"))
     met = met.withColumn("way", F.when(F.col("score").isNotNull(), way))
-    direct = X.extract_answer(F.trim("text"))
+    direct = X.extract_answer(X.bare(F.col("text")))
     direct = F.when((F.col("way") == routing.EXTRACTIVE) & X.grounded(direct, F.col("text")) & (F.trim(direct) != ""), direct)
     met = met.withColumn("direct", direct)
     failed = (F.col("way") == routing.EXTRACTIVE) & F.col("direct").isNull()
