@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions.text import clean, sentences, text_key, words
+from textloom.sources.store import staged
 
 
 @dataclass(frozen=True)
@@ -249,10 +250,12 @@ def validate_chunks(chunks: DataFrame, strategy: str | None = None) -> DataFrame
         "source": linked,
     }
     count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
-    by_row = chunks.select(*[c.alias(k) for k, c in rows.items()]).agg(*[count(F.col(k)).alias(k) for k in rows])
-    runs = chunks.groupBy("document_id").agg(F.min("chunk_index").alias("a"), F.max("chunk_index").alias("z"), F.count(F.lit(1)).alias("n"), F.countDistinct("chunk_index").alias("d"))
+    # chunks are made once, and places and ids are kept of them
+    held = staged(chunks.select(*[c.alias(f"_{k}") for k, c in rows.items()], "document_id", "chunk_index", "chunk_id"), "validated")
+    by_row = held.agg(*[count(F.col(f"_{k}")).alias(k) for k in rows])
+    runs = held.groupBy("document_id").agg(F.min("chunk_index").alias("a"), F.max("chunk_index").alias("z"), F.count(F.lit(1)).alias("n"), F.countDistinct("chunk_index").alias("d"))
     by_document = runs.agg(count((F.col("a") != 0) | (F.col("z") != F.col("n") - 1) | (F.col("d") != F.col("n"))).alias("contiguous"))
-    by_id = chunks.groupBy("chunk_id").count().agg(count(F.col("count") > 1).alias("unique"))
+    by_id = held.groupBy("chunk_id").count().agg(count(F.col("count") > 1).alias("unique"))
     names = [*rows, "contiguous", "unique"]
     one = by_row.crossJoin(by_document).crossJoin(by_id)  # one row each
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("n")) for k in names])).alias("x")).select("x.*")
