@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from textloom.functions import text as X
 from textloom.operators import routing
+from textloom.sources.store import staged
 
 #: What a response holds beside query_id.
 _TEXT, _FLAG = T.StringType(), T.BooleanType()
@@ -62,7 +63,7 @@ def answer_queries(
     guard = X.input_guards(F.col("query"), 2, max_length)
     each = each.withColumn("rule", guard["rule"]).withColumn("detected", X.detect_language(F.col("query"))["code"])
     fits = each.filter("rule IS NULL")
-    found = retrieve(fits.select("query_id", "query", F.col("detected").alias("language"))).filter(F.col("rank") <= top_k)
+    found = staged(retrieve(fits.select("query_id", "query", F.col("detected").alias("language"))).filter(F.col("rank") <= top_k), "found")
     if "translated" not in found.columns:
         found = found.withColumn("translated", F.lit(False))
     cited = F.struct(F.col("rank").cast("int").alias("rank"), F.col("chunk_id").cast("string").alias("chunk_id"), F.col("document_id").cast("string").alias("document_id"), F.substring("text", 1, 500).alias("text"), F.round("score", 6).alias("score"))
